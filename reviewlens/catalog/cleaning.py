@@ -344,7 +344,7 @@ m AS (SELECT *, avg(Score) OVER (PARTITION BY Hotel_ID) AS mean_score,
 u AS (SELECT *, row_number() OVER (PARTITION BY Review_ID_real ORDER BY num, Days, Score NULLS FIRST) AS r FROM m WHERE Hotel_Name IS NOT NULL)
 SELECT Review_ID_real, Hotel_ID, Reviewer_Name, Nationality, Group_Name, Room_Type, Score, Body, Hotel_Name, Days, Month_Stay, Review_Date,
   round(mean_score, 6) AS Mean_Reviewer_Score,
-  array_to_string(list_filter(string_split_regex(Body, '\\s+'), w -> lower(w) NOT IN ({quoted(JOB_STOP_WORDS + JOB_WRONG_WORDS)})), ' ') AS Body_clean
+  array_to_string(list_filter(string_split_regex(Body, '\\s+'), lambda w: lower(w) NOT IN ({quoted(JOB_STOP_WORDS + JOB_WRONG_WORDS)})), ' ') AS Body_clean
 FROM u WHERE r = 1
 """)
 def clean_reviews_job(spark, folder):

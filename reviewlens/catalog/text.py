@@ -1,3 +1,159 @@
-from reviewlens.catalog.base import Registry
+"""Queries on review text: filters, replacement, removal, concatenation, word counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reviewlens.catalog.base import Registry, quoted, rounded, table
+from reviewlens.functions import text as ft
+from reviewlens.operators import features, text
+from reviewlens.operators.joins import without_listed
 
 ENTRIES = Registry()
+
+# Unicode white space as a class both regex engines read alike.
+SPACE = r"[\s\x0b\x85\p{Z}]+"
+TERMS_SQL = rf"regexp_extract_all(lower(text), '{ft.TERM_PATTERN}')"
+CLOUD_SQL = "regexp_extract_all(lower(text), '" + ft.CLOUD_PATTERN.replace("'", "''") + "')"
+WORDS_SQL = rf"list_filter(string_split_regex(text, '{SPACE}'), lambda w: w <> '')"
+ODD_TEXT = "CASE lang WHEN 'de' THEN '12 + 3' WHEN 'es' THEN 'Привет' WHEN 'fr' THEN NULL ELSE text END"
+# Order matters: the second entry sees what the first one wrote, the empty value is skipped.
+DICTIONARY = (("the", "đã"), ("đã", "das"), ("a", "á"), ("en", ""), ("la", "LA"), ("y", "i"))
+STOP_WORDS = ft.LANGUAGE_WORDS["en"]
+WRONG_WORDS = ("der", "die", "und", "que", "los")
+
+
+@ENTRIES.add(f"SELECT doc_id FROM documents WHERE regexp_matches({ODD_TEXT}, '{ft.LETTER_PATTERN}')")
+def letter_filter(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", F.expr(ODD_TEXT).alias("text"))
+    return text.keep_with_letters(documents, "text").select("doc_id")
+
+
+@ENTRIES.add("SELECT doc_id, lang FROM (SELECT doc_id, CASE WHEN source <> 'src3' THEN lang END AS lang FROM documents) WHERE lang IS NULL OR lang IN ('de', 'en')")
+def language_filter(spark, folder):
+    documents = table(spark, folder, "documents").select(
+        "doc_id", "text", F.expr("CASE WHEN source <> 'src3' THEN lang END").alias("lang")
+    )
+    return text.keep_languages(documents, "text", ["de", "en"], lang="lang").drop("text")
+
+
+_WORD_ROWS = ", ".join(f"('{lang}', '{word}')" for lang, words in ft.LANGUAGE_WORDS.items() for word in words)
+_VOTE_SQL = f"""
+WITH words(lang, word) AS (VALUES {_WORD_ROWS}),
+tokens AS (SELECT doc_id, unnest({TERMS_SQL}) AS word FROM documents),
+votes AS (SELECT doc_id, words.lang, count(*) AS n FROM tokens JOIN words USING (word) GROUP BY ALL),
+best AS (SELECT doc_id, lang AS vote, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS r FROM votes)
+SELECT d.doc_id, d.lang, vote FROM documents d LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_id)
+"""
+
+
+@ENTRIES.add(_VOTE_SQL)
+def language_vote(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", "lang", ft.language_vote(F.col("text")).alias("vote"))
+
+
+@ENTRIES.add(f"SELECT doc_id FROM ({_VOTE_SQL}) WHERE vote IS NULL OR vote IN ('vi', 'en')")
+def language_vote_filter(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return text.keep_languages(documents, "text", ["vi", "en"]).select("doc_id")
+
+
+def _nested_replace() -> str:
+    sql = "text"
+    for key, value in DICTIONARY:
+        if value:
+            sql = f"replace({sql}, '{key}', '{value}')"
+    return sql
+
+
+@ENTRIES.add(f"SELECT doc_id, {_nested_replace()} AS text FROM documents")
+def normalize_substring(spark, folder):
+    pairs = ft.dictionary_column(DICTIONARY)
+    return table(spark, folder, "documents").select("doc_id", ft.replace_substrings(F.col("text"), pairs).alias("text"))
+
+
+_TOKEN_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DICTIONARY if v)
+
+
+@ENTRIES.add(f"SELECT doc_id, array_to_string(list_transform({WORDS_SQL}, lambda w: CASE w {_TOKEN_CASE} ELSE w END), ' ') AS text FROM documents")
+def normalize_token(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", ft.replace_tokens(F.col("text"), DICTIONARY).alias("text"))
+
+
+_REMOVED_SQL = (
+    f"SELECT doc_id, array_to_string(list_filter({WORDS_SQL}, lambda w: lower(w) NOT IN ({quoted(STOP_WORDS + WRONG_WORDS)})), ' ') AS text FROM documents"
+)
+
+
+@ENTRIES.add(_REMOVED_SQL)
+def remove_words(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", ft.drop_words(F.col("text"), WRONG_WORDS, STOP_WORDS).alias("text"))
+
+
+# The word table comes from the data: every word of the benchmark items.
+@ENTRIES.add(f"""
+WITH listed AS (SELECT list(DISTINCT word) AS words FROM (SELECT unnest({TERMS_SQL}) AS word FROM benchmark))
+SELECT doc_id, array_to_string(list_filter({WORDS_SQL}, lambda w: NOT list_contains(words, lower(w))), ' ') AS text FROM documents, listed
+""")
+def remove_words_table(spark, folder):
+    words = table(spark, folder, "benchmark").select(F.explode(ft.terms(F.col("text"))).alias("word"))
+    return text.remove_listed_words(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"], "text", words)
+
+
+@ENTRIES.add("SELECT doc_id, concat(coalesce(text, ''), ' ', coalesce(nullif(lang, 'en'), ''), ' ', source) AS content FROM documents")
+def concat_text(spark, folder):
+    documents = table(spark, folder, "documents")
+    return documents.select("doc_id", ft.join_texts(F.col("text"), F.expr("nullif(lang, 'en')"), F.col("source")).alias("content"))
+
+
+@ENTRIES.add("""
+WITH d AS (SELECT 0 AS source, p_partkey AS ord, p_name AS key, p_brand AS value FROM part
+  UNION ALL SELECT 1, p_partkey, CASE WHEN p_size < 25 THEN p_name ELSE p_type END, p_brand || ' later' FROM part),
+m AS (SELECT key, min((source, ord)) AS first, max_by(value, (source, ord)) AS value FROM d GROUP BY key)
+SELECT row_number() OVER (ORDER BY first) - 1 AS ord, key, value FROM m
+""")
+def dict_merge(spark, folder):
+    parts = table(spark, folder, "part")
+    first = parts.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("key"), F.col("p_brand").alias("value"))
+    second = parts.select(
+        F.col("p_partkey").alias("ord"), F.expr("CASE WHEN p_size < 25 THEN p_name ELSE p_type END").alias("key"),
+        F.concat("p_brand", F.lit(" later")).alias("value"),
+    )
+    return features.merge_dictionaries([first, second])
+
+
+@ENTRIES.add("""
+WITH n AS (SELECT source, doc_id, text, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS INTEGER) AS part FROM documents)
+SELECT source, part, string_agg(text, ' ' ORDER BY doc_id) AS text FROM n GROUP BY source, part
+""")
+def concat_by_group(spark, folder):
+    documents = table(spark, folder, "documents").select("source", "doc_id", "text")
+    return text.concat_by_group(documents, "source", "text", ["doc_id"], part_rows=20)
+
+
+def word_counts_sql(where: str, n: int) -> str:
+    """SQL of the word-cloud counts over the documents that meet a condition."""
+    return rf"""
+WITH t AS (SELECT unnest({CLOUD_SQL}) AS word FROM documents WHERE {where}),
+w AS (SELECT regexp_replace(word, '''s$', '') AS word FROM t WHERE NOT regexp_matches(word, '^\p{{N}}+$')),
+c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' AND word NOT IN ({quoted(STOP_WORDS)}) GROUP BY word),
+m AS (SELECT CASE WHEN c.word LIKE '%s' AND c.word NOT LIKE '%ss' AND s.word IS NOT NULL THEN s.word ELSE c.word END AS word, c.n
+  FROM c LEFT JOIN c s ON s.word = left(c.word, -1)),
+top AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY word ORDER BY n DESC, word LIMIT {n})
+SELECT word, n, round(n / max(n) OVER (), 6) AS weight FROM top"""
+
+
+@ENTRIES.add(word_counts_sql("true", 200))
+def word_freq(spark, folder):
+    counts = text.word_frequencies(table(spark, folder, "documents"), "text", STOP_WORDS, 200)
+    return rounded(counts, 6, "weight")
+
+
+@ENTRIES.add(f"""
+SELECT token, count(*) AS n FROM (SELECT unnest(list_transform({WORDS_SQL}, lambda w: lower(w))) AS token FROM documents)
+WHERE token NOT IN ({quoted(STOP_WORDS)}) GROUP BY token
+""")
+def anti_membership(spark, folder):
+    tokens = table(spark, folder, "documents").select(F.explode(ft.split_words(F.lower("text"))).alias("token"))
+    words = spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
+    return without_listed(tokens, "token", words).groupBy("token").agg(F.count("*").alias("n"))

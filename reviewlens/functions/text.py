@@ -107,6 +107,10 @@ def join_texts(*columns: Column) -> Column:
     return F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
 
 
+def _among(words: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda token: token.isin(*words)
+
+
 def language_vote(text: Column, words: Mapping[str, Sequence[str]] | None = None) -> Column:
     """Language whose function words occur most often; ties go to the first name, none gives null.
 
@@ -117,7 +121,7 @@ def language_vote(text: Column, words: Mapping[str, Sequence[str]] | None = None
     table = words or LANGUAGE_WORDS
 
     def pick(found: Column) -> Column:
-        votes = [F.size(F.filter(found, lambda t, lang=lang: t.isin(*table[lang]))) for lang in names]
+        votes = [F.size(F.filter(found, _among(table[lang]))) for lang in names]
         best = F.greatest(*votes) if len(votes) > 1 else votes[0]
         choice = F.when(best <= 0, F.lit(None).cast("string"))
         for lang, vote in zip(names, votes):

@@ -27,8 +27,8 @@ def drop_orphans(
 
 def without_listed(rows: DataFrame, column: str, words: DataFrame, word_col: str = "word") -> DataFrame:
     """Rows whose value, in lower case, is not in a one-column word table."""
-    listed = small_side(words.select(F.col(word_col).alias("__word")).distinct())
-    return rows.join(listed, F.lower(F.col(column)) == F.col("__word"), "left_anti")
+    listed = small_side(words.select(F.col(word_col).alias("__listed")).distinct())
+    return rows.join(listed, F.lower(F.col(column)) == F.col("__listed"), "left_anti")
 
 
 def corpus_rows(
