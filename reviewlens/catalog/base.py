@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.session import ensure_checkpoint_dir
+from reviewlens.sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -36,10 +35,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder next to the session's checkpoints, visible to all executors."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
+def texts(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
+    """Columns of the documents, spread over the cores if their file is a single split."""
+    return spread(table(spark, folder, "documents").select(*columns))
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewlens import hotel
-from reviewlens.catalog.base import REVIEWS_SQL, Registry, quoted, reviews, rounded, shared_folder, table
+from reviewlens.catalog.base import REVIEWS_SQL, Registry, quoted, reviews, rounded, table
 from reviewlens.functions import cleaning as fc
 from reviewlens.operators import cleaning, dedup, joins
 from reviewlens.plans.jobs import clean_entities, clean_reviews
+from reviewlens.session import shared_folder
 from reviewlens.sources.tables import read_clean, read_raw_csv, write_csv, write_parquet
 
 ENTRIES = Registry()

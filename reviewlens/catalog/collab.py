@@ -1,3 +1,199 @@
-from reviewlens.catalog.base import Registry
+"""Queries on dense ids, splits, ALS and the hybrid score."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reviewlens.catalog.base import REVIEWS_SQL, Registry, reviews, rounded, table
+from reviewlens.functions.text import terms
+from reviewlens.operators import collab, features, hybrid, stats
+from reviewlens.plans.sizing import materialise
+from reviewlens.session import shared_folder
 
 ENTRIES = Registry()
+KEY = ("ordr", "item", "nights", "score")
+_KEY_SQL = "CAST(ordr AS VARCHAR), CAST(item AS VARCHAR), CAST(nights AS VARCHAR), CAST(CAST(score AS INTEGER) AS VARCHAR)"
+_MARK_SQL = f"CAST(('0x' || left(md5(concat_ws('|', '{collab.SEED}', {_KEY_SQL})), 8)) AS BIGINT) % 100 < 80"
+
+
+@ENTRIES.add(f"""
+WITH {REVIEWS_SQL}, c AS (SELECT item, count(*) AS n FROM reviews GROUP BY item)
+SELECT item, CAST(row_number() OVER (ORDER BY n DESC, item) - 1 AS INTEGER) AS item_id FROM c
+""")
+def string_index(spark, folder):
+    return collab.dense_index(reviews(spark, folder), "item", "item_id")
+
+
+@ENTRIES.add(f"""
+WITH {REVIEWS_SQL}, c AS (SELECT user, count(*) AS n FROM reviews GROUP BY user),
+i AS (SELECT user, CAST(row_number() OVER (ORDER BY n DESC, user) - 1 AS INTEGER) AS user_id FROM c)
+SELECT ordr, item, nights, user, user_id FROM reviews JOIN i USING (user)
+""")
+def string_index_rows(spark, folder):
+    return collab.with_index(reviews(spark, folder).select("ordr", "item", "nights", "user"), "user", "user_id")
+
+
+def _split(spark, folder):
+    # Whole scores as integers, so that the key reads the same in both languages.
+    rows = reviews(spark, folder).withColumn("whole", F.col("score").cast("int"))
+    return collab.hash_split(rows, ["ordr", "item", "nights", "whole"])
+
+
+@ENTRIES.add(f"""
+WITH {REVIEWS_SQL} SELECT ordr, item, nights, score, {_MARK_SQL} AS train FROM reviews
+""")
+def hash_split(spark, folder):
+    train, test = _split(spark, folder)
+    marked = train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
+    return marked.select(*KEY, "train")
+
+
+@ENTRIES.add(f"""
+WITH {REVIEWS_SQL}, s AS (SELECT *, {_MARK_SQL} AS train FROM reviews)
+SELECT 'train' AS part, count(*) FILTER (train) AS rows FROM s UNION ALL SELECT 'test', count(*) FILTER (NOT train) FROM s
+""")
+def split_counts(spark, folder):
+    train, test = _split(spark, folder)
+    named = [stats.row_count(part).withColumn("part", F.lit(name)) for name, part in (("train", train), ("test", test))]
+    return named[0].unionByName(named[1])
+
+
+# A mean per item stands in for the factor model where SQL has to give the same numbers.
+def _mean_predictions(spark, folder):
+    train, test = _split(spark, folder)
+    means = stats.mean_per_entity(train, "item", "score", "prediction")
+    return test.join(means, "item")
+
+
+_MEANS_SQL = f"""{REVIEWS_SQL}, s AS (SELECT *, {_MARK_SQL} AS train FROM reviews),
+means AS (SELECT item, avg(score) AS prediction FROM s WHERE train GROUP BY item),
+predictions AS (SELECT s.*, prediction FROM s JOIN means USING (item) WHERE NOT train)"""
+
+
+@ENTRIES.add(f"WITH {_MEANS_SQL} SELECT round(sqrt(avg((score - prediction) ** 2)), 6) AS rmse FROM predictions")
+def rmse_mean_model(spark, folder):
+    return rounded(stats.rmse(_mean_predictions(spark, folder), "score", "prediction"), 6, "rmse")
+
+
+# Item texts: the words of a part's name, brand and type.
+def _item_texts(spark, folder):
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("item"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text")
+    )
+
+
+def _item_weights(spark, folder):
+    texts = _item_texts(spark, folder).withColumnRenamed("item", "doc")
+    weights = features.tfidf(features.term_counts(texts, ["doc"], ["text"], terms), texts)
+    return materialise(weights.withColumnRenamed("doc", "item"))
+
+
+_ITEM_WEIGHTS_SQL = r"""
+texts AS (SELECT p_partkey AS item, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part),
+counts AS (SELECT item, term, count(*) AS tf FROM (SELECT item, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM texts) GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT count(*) FROM texts) + 1.0) / (count(*) + 1)) + 1 AS idf FROM counts GROUP BY term),
+raw AS (SELECT item, term, tf * idf AS raw FROM counts JOIN idf USING (term)),
+weights AS (SELECT item, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY item)) AS weight FROM raw)"""
+
+
+@ENTRIES.add(f"""
+WITH {_MEANS_SQL}, {_ITEM_WEIGHTS_SQL},
+contents AS (SELECT item, count(*) AS terms, round(max(weight), 6) AS top_weight FROM weights GROUP BY item)
+SELECT ordr, nights, predictions.item, score, round(prediction, 6) AS prediction, terms, top_weight FROM predictions LEFT JOIN contents USING (item)
+""")
+def hybrid_join(spark, folder):
+    contents = _item_weights(spark, folder).groupBy("item").agg(
+        F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top_weight")
+    )
+    predictions = _mean_predictions(spark, folder).select("ordr", "nights", "item", "score", "prediction")
+    return rounded(hybrid.hybrid_join(predictions, contents, "item"), 6, "prediction")
+
+
+@ENTRIES.add(f"""
+WITH {_MEANS_SQL}, {_ITEM_WEIGHTS_SQL},
+liked AS (SELECT user, item, sum(score) AS liked FROM s WHERE train GROUP BY user, item),
+tastes AS (SELECT user, term, sum(liked * weight) AS taste FROM liked JOIN weights USING (item) GROUP BY user, term),
+lengths AS (SELECT user, sqrt(sum(taste * taste)) AS length FROM tastes GROUP BY user),
+pairs AS (SELECT DISTINCT user, item, prediction FROM predictions),
+dots AS (SELECT user, item, sum(taste * weight) AS dot FROM pairs JOIN weights USING (item) JOIN tastes USING (user, term) GROUP BY user, item),
+b AS (SELECT min(prediction) AS lo, max(prediction) AS hi FROM pairs)
+SELECT user, item, round(coalesce(dot / length, 0), 6) AS content,
+  round(0.7 * (prediction - lo) / (hi - lo) + 0.3 * coalesce(dot / length, 0), 6) AS score
+FROM pairs LEFT JOIN dots USING (user, item) LEFT JOIN lengths USING (user), b
+""")
+def hybrid_score_mean_model(spark, folder):
+    train, _ = _split(spark, folder)
+    pairs = _mean_predictions(spark, folder).select("user", "item", "prediction").distinct()
+    weights = _item_weights(spark, folder)
+    profiles = hybrid.user_profiles(train, weights, "user", "item", "score")
+    contents = hybrid.content_scores(pairs, profiles, weights, "user", "item")
+    scores = hybrid.hybrid_scores(pairs, contents, "user", "item")
+    return rounded(scores, 6, "content", "score").select("user", "item", "content", "score")
+
+
+def _ratings(spark, folder):
+    """Ratings with integer ids, written once as the fit reads them in every iteration."""
+    rows = collab.with_index(reviews(spark, folder), "user", "user_id").withColumnRenamed("item", "item_id")
+    kept = collab.clean_ratings(rows, "user_id", "item_id", "score")
+    return materialise(kept.select("user", "user_id", F.col("item_id").cast("int"), "name", "score", "ordr", "nights"))
+
+
+def _fit(train):
+    return collab.fit_als(train, "user_id", "item_id", "score")
+
+
+@ENTRIES.add()
+def als_predict(spark, folder):
+    train, test = collab.hash_split(_ratings(spark, folder), ["ordr", "item_id", "nights"])
+    predictions = collab.predict(_fit(train), test)
+    return predictions.select("user_id", "item_id", "score", "prediction")
+
+
+@ENTRIES.add()
+def als_rmse(spark, folder):
+    train, test = collab.hash_split(_ratings(spark, folder), ["ordr", "item_id", "nights"])
+    return stats.rmse(collab.predict(_fit(train), test), "score", "prediction")
+
+
+@ENTRIES.add()
+def als_recommend_user(spark, folder):
+    ratings = _ratings(spark, folder)
+    return collab.recommend_for_user(_fit(ratings), ratings.select("item_id", "name"), 1, 10, ["name"])
+
+
+@ENTRIES.add()
+def als_recommend_all(spark, folder):
+    ratings = _ratings(spark, folder)
+    names = table(spark, folder, "part").select(F.col("p_partkey").cast("int").alias("item_id"), "p_name")
+    return collab.recommend_for_users(_fit(ratings), 10, items=names)
+
+
+@ENTRIES.add()
+def als_model_roundtrip(spark, folder):
+    path = shared_folder(spark)
+    collab.save_model(_fit(_ratings(spark, folder)), path)
+    return collab.load_model(path).itemFactors
+
+
+@ENTRIES.add()
+def hybrid_score(spark, folder):
+    train, test = collab.hash_split(_ratings(spark, folder), ["ordr", "item_id", "nights"])
+    predictions = materialise(collab.predict(_fit(train), test).groupBy("user_id", "item_id").agg(F.first("prediction").alias("prediction")))
+    weights = _item_weights(spark, folder).select(F.col("item").cast("int").alias("item_id"), "term", "weight")
+    profiles = hybrid.user_profiles(train, weights, "user_id", "item_id", "score")
+    contents = hybrid.content_scores(predictions, profiles, weights, "user_id", "item_id")
+    return hybrid.hybrid_scores(predictions, contents, "user_id", "item_id")
+
+
+@ENTRIES.add()
+def hybrid_vectors(spark, folder):
+    train, test = collab.hash_split(_ratings(spark, folder), ["ordr", "item_id", "nights"])
+    vectors = hybrid.item_text_vectors(_item_texts(spark, folder).withColumnRenamed("item", "item_id"), "item_id", "text")
+    return hybrid.hybrid_join(collab.predict(_fit(train), test), vectors, "item_id").select("user_id", "item_id", "score", "prediction", "tfidf_features")
+
+
+@ENTRIES.add()
+def mllib_text_features(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    _, made = features.hashed_text_features(documents, "text")
+    return made.select("doc_id", "tfidf_features")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewlens.catalog.base import Registry, quoted, rounded, shared_folder, table
+from reviewlens.catalog.base import Registry, quoted, rounded, table, texts
 from reviewlens.functions import text as ft
 from reviewlens.operators import features, joins, similar
+from reviewlens.plans.sizing import materialise
+from reviewlens.session import shared_folder
 from reviewlens.sources.artefacts import load_artefacts, save_artefacts
 
 ENTRIES = Registry()
@@ -17,7 +19,7 @@ KEYWORD = "000[1-3]$"
 
 # Single texts as documents.
 def _texts(spark, folder):
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return texts(spark, folder, F.col("doc_id").alias("doc"), "text")
 
 
 _COUNTS_SQL = f"counts AS (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents) GROUP BY ALL)"
@@ -35,8 +37,8 @@ weights AS (SELECT doc, term, raw / norm AS weight FROM raw JOIN norms USING (do
 
 @ENTRIES.add(f"WITH {_COUNTS_SQL}, {_weights_sql('smooth', '(SELECT count(*) FROM documents)')} SELECT doc, term, round(weight, 6) AS weight FROM weights")
 def tfidf_smooth(spark, folder):
-    texts = _texts(spark, folder)
-    weights = features.tfidf(features.term_counts(texts, ["doc"], ["text"]), texts, "smooth")
+    documents = _texts(spark, folder)
+    weights = features.tfidf(features.term_counts(documents, ["doc"], ["text"]), documents, "smooth")
     return rounded(weights, 6, "weight")
 
 
@@ -85,7 +87,7 @@ def corpus_join(spark, folder):
 
 def _documents(spark, folder, dedup: bool = False):
     return features.documents_per_entity(
-        table(spark, folder, "documents").select("source", "lang", "doc_id", "text"), _entities(spark, folder), entity="source",
+        table(spark, folder, "documents"), _entities(spark, folder), entity="source",
         variant="lang", body="text", attributes=["name", "address"], text_attributes=["name", "lang", "address"],
         order_by=["doc_id"], dedup=dedup,
     )
@@ -121,7 +123,7 @@ def _tokens_of(text: str) -> str:
 
 def _entity_counts(spark, folder, documents, tokenise=ft.terms):
     return features.entity_term_counts(
-        table(spark, folder, "documents"), documents, entity="source", body="text", text_attributes=["name", "lang", "address"], tokenise=tokenise
+        texts(spark, folder, "source", "text"), documents, entity="source", body="text", text_attributes=["name", "lang", "address"], tokenise=tokenise
     )
 
 
@@ -140,7 +142,8 @@ _LOG2_SQL = f"WITH {_entity_counts_sql(_tokens_of)}, {_weights_sql('log2', '(SEL
 
 def _smooth(spark, folder):
     documents = _documents(spark, folder)
-    return documents, features.tfidf(_entity_counts(spark, folder, documents), documents, "smooth")
+    # Stored, as the saved weights a recommender is served from would be.
+    return documents, materialise(features.tfidf(_entity_counts(spark, folder, documents), documents, "smooth"))
 
 
 @ENTRIES.add(f"{_SMOOTH_SQL} SELECT src, rec, round(sim, 6) AS sim FROM pairs")
@@ -200,7 +203,7 @@ SELECT source_name, recommended_name, address, round(sim, 6) AS score FROM first
 """)
 def recommend_index(spark, folder):
     documents = _documents(spark, folder)
-    weights = features.tfidf(_entity_counts(spark, folder, documents, ft.stripped_tokens(STOP_WORDS)), scheme="log2")
+    weights = materialise(features.tfidf(_entity_counts(spark, folder, documents, ft.stripped_tokens(STOP_WORDS)), scheme="log2"))
     found = similar.recommend_from_index(weights, documents, entity="source", name="name", keyword=KEYWORD, k=5, attributes=["address"])
     return rounded(found, 6, "score")
 
@@ -212,10 +215,14 @@ def find_by_keyword(spark, folder):
 
 @ENTRIES.add(f"WITH {_COUNTS_SQL}, {_weights_sql('smooth', '(SELECT count(*) FROM documents)')} SELECT doc, term, round(weight, 6) AS weight, tf FROM weights JOIN counts USING (doc, term)")
 def artefacts_roundtrip(spark, folder):
-    texts = _texts(spark, folder)
-    counts = features.term_counts(texts, ["doc"], ["text"])
+    documents = _texts(spark, folder)
+    counts = materialise(features.term_counts(documents, ["doc"], ["text"]))
     path = shared_folder(spark)
-    save_artefacts({"documents": texts, "counts": counts, "vocabulary": features.vocabulary(counts), "weights": features.tfidf(counts, texts)}, path)
+    made = {
+        "documents": documents, "counts": counts, "vocabulary": features.vocabulary(counts),
+        "weights": features.tfidf(counts, documents),
+    }
+    save_artefacts(made, path)
     stored = load_artefacts(spark, path)
     return rounded(stored["weights"].join(stored["counts"], ["doc", "term"]), 6, "weight")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewlens.catalog.base import Registry, quoted, rounded, table
+from reviewlens.catalog.base import Registry, quoted, rounded, table, texts
 from reviewlens.functions import text as ft
 from reviewlens.operators import features, text
 from reviewlens.operators.joins import without_listed
@@ -49,12 +49,12 @@ SELECT d.doc_id, d.lang, vote FROM documents d LEFT JOIN (SELECT * FROM best WHE
 
 @ENTRIES.add(_VOTE_SQL)
 def language_vote(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "lang", ft.language_vote(F.col("text")).alias("vote"))
+    return texts(spark, folder, "doc_id", "lang", "text").withColumn("vote", ft.language_vote(F.col("text"))).drop("text")
 
 
 @ENTRIES.add(f"SELECT doc_id FROM ({_VOTE_SQL}) WHERE vote IS NULL OR vote IN ('vi', 'en')")
 def language_vote_filter(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder, "doc_id", "text")
     return text.keep_languages(documents, "text", ["vi", "en"]).select("doc_id")
 
 
@@ -69,7 +69,7 @@ def _nested_replace() -> str:
 @ENTRIES.add(f"SELECT doc_id, {_nested_replace()} AS text FROM documents")
 def normalize_substring(spark, folder):
     pairs = ft.dictionary_column(DICTIONARY)
-    return table(spark, folder, "documents").select("doc_id", ft.replace_substrings(F.col("text"), pairs).alias("text"))
+    return texts(spark, folder, "doc_id", "text").withColumn("text", ft.replace_substrings(F.col("text"), pairs))
 
 
 _TOKEN_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DICTIONARY if v)
@@ -77,7 +77,7 @@ _TOKEN_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DICTIONARY if v)
 
 @ENTRIES.add(f"SELECT doc_id, array_to_string(list_transform({WORDS_SQL}, lambda w: CASE w {_TOKEN_CASE} ELSE w END), ' ') AS text FROM documents")
 def normalize_token(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", ft.replace_tokens(F.col("text"), DICTIONARY).alias("text"))
+    return texts(spark, folder, "doc_id", "text").withColumn("text", ft.replace_tokens(F.col("text"), DICTIONARY))
 
 
 _REMOVED_SQL = (
@@ -87,7 +87,7 @@ _REMOVED_SQL = (
 
 @ENTRIES.add(_REMOVED_SQL)
 def remove_words(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", ft.drop_words(F.col("text"), WRONG_WORDS, STOP_WORDS).alias("text"))
+    return texts(spark, folder, "doc_id", "text").withColumn("text", ft.drop_words(F.col("text"), WRONG_WORDS, STOP_WORDS))
 
 
 # The word table comes from the data: every word of the benchmark items.
@@ -97,7 +97,7 @@ SELECT doc_id, array_to_string(list_filter({WORDS_SQL}, lambda w: NOT list_conta
 """)
 def remove_words_table(spark, folder):
     words = table(spark, folder, "benchmark").select(F.explode(ft.terms(F.col("text"))).alias("word"))
-    return text.remove_listed_words(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"], "text", words)
+    return text.remove_listed_words(texts(spark, folder, "doc_id", "text"), ["doc_id"], "text", words)
 
 
 @ENTRIES.add("SELECT doc_id, concat(coalesce(text, ''), ' ', coalesce(nullif(lang, 'en'), ''), ' ', source) AS content FROM documents")
@@ -145,7 +145,7 @@ SELECT word, n, round(n / max(n) OVER (), 6) AS weight FROM top"""
 
 @ENTRIES.add(word_counts_sql("true", 200))
 def word_freq(spark, folder):
-    counts = text.word_frequencies(table(spark, folder, "documents"), "text", STOP_WORDS, 200)
+    counts = text.word_frequencies(texts(spark, folder, "text"), "text", STOP_WORDS, 200)
     return rounded(counts, 6, "weight")
 
 
@@ -154,6 +154,6 @@ SELECT token, count(*) AS n FROM (SELECT unnest(list_transform({WORDS_SQL}, lamb
 WHERE token NOT IN ({quoted(STOP_WORDS)}) GROUP BY token
 """)
 def anti_membership(spark, folder):
-    tokens = table(spark, folder, "documents").select(F.explode(ft.split_words(F.lower("text"))).alias("token"))
+    tokens = texts(spark, folder, "text").select(F.explode(ft.split_words(F.lower("text"))).alias("token"))
     words = spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
     return without_listed(tokens, "token", words).groupBy("token").agg(F.count("*").alias("n"))

@@ -32,7 +32,7 @@ def repeated_rows(df: DataFrame, key: Sequence[str], order_by: Sequence[str]) ->
         df.groupBy(*key).agg(F.min(place).alias("__first"), F.count("*").alias("__copies"))
         .filter(F.col("__copies") > 1).drop("__copies")
     )
-    joined = join_lookup_null_safe(df, firsts, key, "inner")
+    joined = join_lookup_null_safe(df, firsts, key, "inner", derived=True)
     return joined.filter(place != F.col("__first")).select(*df.columns)
 
 

@@ -25,7 +25,8 @@ def term_counts(
     df: DataFrame, key: Sequence[str], texts: Sequence[str], tokenise: Tokeniser = terms
 ) -> DataFrame:
     """Bag of words ``(key.., term, tf)`` of one or more text columns, summed over rows of equal key."""
-    tokens = F.flatten(F.array(*[F.coalesce(tokenise(F.col(c)), F.array().cast("array<string>")) for c in texts]))
+    lists = [F.coalesce(tokenise(F.col(c)), F.array().cast("array<string>")) for c in texts]
+    tokens = lists[0] if len(lists) == 1 else F.flatten(F.array(*lists))
     exploded = df.select(*key, F.explode(tokens).alias("term"))
     return exploded.groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
@@ -68,18 +69,20 @@ def content_marks(
     be hashed in any number of tasks and nothing is concatenated.
     """
     pieces = F.split(F.col("__body"), " ", -1)
+    # The number of pieces is a stored column: inside the hashing it would be counted once per piece.
     bodies = reviews.filter(F.col(entity).isNotNull() & F.col(body).isNotNull()).select(
-        entity, F.col(body).alias("__body"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_by)]
+        entity, F.col(body).alias("__body"), F.size(F.split(F.col(body), " ", -1)).alias("__size"),
+        *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_by)],
     )
     order = [F.col(f"__o{i}").asc() for i in range(len(order_by))]
-    placed = with_running_total(bodies, order, "__end", [entity], F.size(pieces).cast("long"))
-    start = F.col("__end") - F.size(pieces)
+    placed = with_running_total(bodies, order, "__end", [entity], F.col("__size").cast("long"))
+    start = F.col("__end") - F.col("__size")
     per_entity = placed.groupBy(entity).agg(
         F.bit_xor(_marks(start, pieces, 1)).alias("__body_a"),
         F.bit_xor(_marks(start, pieces, 2)).alias("__body_b"),
         F.max("__end").alias("__body_pieces"),
     )
-    joined = join_lookup(rows, per_entity, [entity], "left")
+    joined = join_lookup(rows, per_entity, [entity], "left", derived=True)
     has_body = F.col("__body_pieces").isNotNull()
     # An entity without any body contributes one empty piece, as joining an empty text would.
     first = F.coalesce(F.col("__body_pieces"), F.lit(1))
@@ -135,11 +138,11 @@ def tfidf(
         "term", formula(total.scalar(), F.col("df")).alias("idf")
     )
     raw = (
-        join_lookup(counts, idf, ["term"], "inner", max_rows)
+        join_lookup(counts, idf, ["term"], "inner", max_rows, derived=True)
         .select("doc", "term", (F.col("tf") * F.col("idf")).alias("raw")).filter(F.col("raw") > 0)
     )
     norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    weighted = join_lookup(raw, norms, ["doc"], "inner", max_rows)
+    weighted = join_lookup(raw, norms, ["doc"], "inner", max_rows, derived=True)
     return weighted.select("doc", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 

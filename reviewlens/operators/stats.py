@@ -151,7 +151,7 @@ def mean_on_rows(df: DataFrame, key: str, value: str, name: str, max_rows: int =
     Aggregated first and joined back: a window would put all rows of a hot key into one task.
     """
     means = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias(name))
-    return join_lookup(df, means, [key], "left", max_rows)
+    return join_lookup(df, means, [key], "left", max_rows, derived=True)
 
 
 def rmse(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -42,7 +42,7 @@ def with_running_total(
 
     inside = W.partitionBy(_PART, *group).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
     local = cut.withColumn(name, F.sum("__weight").over(inside).cast("long"))
-    joined = join_lookup_null_safe(local, offsets, [_PART, *group], "inner")
+    joined = join_lookup_null_safe(local, offsets, [_PART, *group], "inner", derived=True)
     return joined.withColumn(name, F.col(name) + F.col("__offset")).drop(_PART, "__offset", "__weight")
 
 

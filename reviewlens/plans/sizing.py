@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.session import ensure_checkpoint_dir
+from reviewlens.session import shared_folder
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several steps read, and cut its lineage.
+    """Write an intermediate that several steps read, and go on from the written table.
 
-    Goes to the session's shared checkpoint folder, so it survives the loss of an executor.
+    Parquet in the session's shared checkpoint folder: survives the loss of an executor, cuts the
+    lineage, and later steps read only the columns they need.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -43,17 +45,24 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = B
 
 
 def join_lookup(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
+    derived: bool = False,
 ) -> DataFrame:
-    """Join a large table with a per-key table, by name, broadcasting the latter only when it measures small."""
-    return rows.join(small_side(table, max_rows), list(on), how)
+    """Join a large table with a per-key table, by name, broadcasting the latter only when it measures small.
+
+    ``derived`` says that the per-key table is costly to compute: it is then written once, instead of
+    being computed for the measurement and again for the join.
+    """
+    return rows.join(small_side(materialise(table) if derived else table, max_rows), list(on), how)
 
 
 def join_lookup_null_safe(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
+    derived: bool = False,
 ) -> DataFrame:
-    """As :func:`join_lookup`, with null keys equal to each other and the table's keys dropped."""
-    renamed = table.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in table.columns])
+    """As :func:`join_lookup`, with null keys equal to each other."""
+    source = materialise(table) if derived else table
+    renamed = source.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in source.columns])
     condition = [rows[c].eqNullSafe(F.col(f"__{c}")) for c in on]
     joined = rows.join(small_side(renamed, max_rows), condition, how)
     return joined.drop(*[f"__{c}" for c in on])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,9 +35,13 @@ def build_session(app_name: str = "reviewlens", master: str | None = None, **con
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; make one up only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder, visible to all executors.
+
+    The folder is the one ``spark.checkpoint.dir`` names; one is made up only where none is set.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="reviewlens-checkpoint-"))
+    return f"{context.getCheckpointDir()}/reviewlens-{uuid.uuid4().hex}"

@@ -31,6 +31,15 @@ def read_raw_csv(
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a freshly read table whose files make fewer splits than there are cores.
+
+    For small tables with costly row expressions; a table of many splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_clean(
     spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None,
     date_columns: Sequence[str] = (),
