@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 
 MARGIN = 1e-4
 ACCURACY = 100_000
+# Below this many values a margin is a few ranks only; all of them are ranked then.
+SMALL = 100_000
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -24,14 +26,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     sketch = values.agg(
         *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
+        *[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(f"r_{i}") for i, c in enumerate(columns)],
         *[F.percentile_approx(c, ends, ACCURACY).alias(f"q_{i}") for i, c in enumerate(columns)],
     )
     brackets = sketch.select(
         F.inline(F.array(*[
             F.struct(
                 F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"n_{i}").alias("n"),
-                F.try_element_at(F.col(f"q_{i}"), F.lit(2 * j + 1)).alias("low"),
-                F.try_element_at(F.col(f"q_{i}"), F.lit(2 * j + 2)).alias("high"),
+                F.when(F.col(f"n_{i}") < SMALL, F.col(f"r_{i}.low"))
+                .otherwise(F.try_element_at(F.col(f"q_{i}"), F.lit(2 * j + 1))).alias("low"),
+                F.when(F.col(f"n_{i}") < SMALL, F.col(f"r_{i}.high"))
+                .otherwise(F.try_element_at(F.col(f"q_{i}"), F.lit(2 * j + 2))).alias("high"),
             )
             for i, c in enumerate(columns) for j, (p, _, _) in enumerate(levels)
         ]))
