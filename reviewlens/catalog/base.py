@@ -48,7 +48,8 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 # A review is an order line: the customer's nation is the user, the part is the entity.
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
     """The review view."""
-    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    wanted = ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    lines, orders = spread(table(spark, folder, "lineitem").select(*wanted)), table(spark, folder, "orders")
     customers, nations, parts = (table(spark, folder, t) for t in ("customer", "nation", "part"))
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)

@@ -84,7 +84,7 @@ def _item_texts(spark, folder):
 
 def _item_weights(spark, folder):
     texts = _item_texts(spark, folder).withColumnRenamed("item", "doc")
-    weights = features.tfidf(features.term_counts(texts, ["doc"], ["text"], terms), texts)
+    weights = features.tfidf(features.term_counts(texts, ["doc"], ["text"], terms, unique=True), texts)
     return materialise(weights.withColumnRenamed("doc", "item"))
 
 

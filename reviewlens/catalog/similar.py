@@ -38,7 +38,7 @@ weights AS (SELECT doc, term, raw / norm AS weight FROM raw JOIN norms USING (do
 @ENTRIES.add(f"WITH {_COUNTS_SQL}, {_weights_sql('smooth', '(SELECT count(*) FROM documents)')} SELECT doc, term, round(weight, 6) AS weight FROM weights")
 def tfidf_smooth(spark, folder):
     documents = _texts(spark, folder)
-    weights = features.tfidf(features.term_counts(documents, ["doc"], ["text"]), documents, "smooth")
+    weights = features.tfidf(features.term_counts(documents, ["doc"], ["text"], unique=True), documents, "smooth")
     return rounded(weights, 6, "weight")
 
 
@@ -47,7 +47,7 @@ _BAG_SQL = f"counts AS (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT
 
 
 def _bag(spark, folder):
-    return features.term_counts(_texts(spark, folder), ["doc"], ["text"], ft.stripped_tokens(STOP_WORDS))
+    return features.term_counts(_texts(spark, folder), ["doc"], ["text"], ft.stripped_tokens(STOP_WORDS), unique=True)
 
 
 @ENTRIES.add(f"WITH {_BAG_SQL} SELECT doc, term, tf FROM counts")
@@ -216,7 +216,7 @@ def find_by_keyword(spark, folder):
 @ENTRIES.add(f"WITH {_COUNTS_SQL}, {_weights_sql('smooth', '(SELECT count(*) FROM documents)')} SELECT doc, term, round(weight, 6) AS weight, tf FROM weights JOIN counts USING (doc, term)")
 def artefacts_roundtrip(spark, folder):
     documents = _texts(spark, folder)
-    counts = materialise(features.term_counts(documents, ["doc"], ["text"]))
+    counts = materialise(features.term_counts(documents, ["doc"], ["text"], unique=True))
     path = shared_folder(spark)
     made = {
         "documents": documents, "counts": counts, "vocabulary": features.vocabulary(counts),

@@ -48,6 +48,34 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0))
 
 
+def counted(tokens: Column) -> Column:
+    """Different tokens of one array with their counts, as ``array<struct<term, tf>>``.
+
+    Sorts the array and measures its runs, so a text is counted where it lies, without a shuffle.
+    """
+
+    # Arrays that an inner function reads are bound as lambda variables; as plain expressions they
+    # would be built again for every element.
+    def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def runs(ordered: Column) -> Column:
+        length = F.size(ordered)
+        starts = F.filter(
+            F.sequence(F.lit(0), length), lambda i: (i == 0) | (i == length) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        )
+
+        def measure(start: Column) -> Column:
+            return F.transform(
+                F.slice(start, 1, F.size(start) - 1),
+                lambda at, i: F.struct(F.get(ordered, at).alias("term"), (F.get(start, i + 1) - at).cast("long").alias("tf")),
+            )
+
+        return bind(starts, measure)
+
+    return bind(F.array_sort(tokens), runs)
+
+
 def cloud_words(text: Column) -> Column:
     """Lower-case words for a word cloud: no pure numbers, possessive ``'s`` cut off."""
     found = F.regexp_extract_all(F.lower(text), F.lit(CLOUD_PATTERN), F.lit(0))

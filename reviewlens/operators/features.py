@@ -14,7 +14,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover,
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import Tokeniser, terms
+from reviewlens.functions.text import Tokeniser, counted, terms
 from reviewlens.operators.dedup import keep_first
 from reviewlens.operators.joins import corpus_rows
 from reviewlens.plans.positions import with_position, with_running_total
@@ -22,11 +22,17 @@ from reviewlens.plans.sizing import BROADCAST_ROWS, join_lookup, materialise
 
 
 def term_counts(
-    df: DataFrame, key: Sequence[str], texts: Sequence[str], tokenise: Tokeniser = terms
+    df: DataFrame, key: Sequence[str], texts: Sequence[str], tokenise: Tokeniser = terms, unique: bool = False
 ) -> DataFrame:
-    """Bag of words ``(key.., term, tf)`` of one or more text columns, summed over rows of equal key."""
+    """Bag of words ``(key.., term, tf)`` of one or more text columns, summed over rows of equal key.
+
+    ``unique`` says that the key identifies a row; the counts are then taken inside each row and
+    nothing is shuffled.
+    """
     lists = [F.coalesce(tokenise(F.col(c)), F.array().cast("array<string>")) for c in texts]
     tokens = lists[0] if len(lists) == 1 else F.flatten(F.array(*lists))
+    if unique:
+        return df.select(*key, F.inline(counted(tokens)))
     exploded = df.select(*key, F.explode(tokens).alias("term"))
     return exploded.groupBy(*key, "term").agg(F.count("*").alias("tf"))
 

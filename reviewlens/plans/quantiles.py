@@ -8,6 +8,8 @@ it (a fixed small share of the table) are ranked.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,41 +25,51 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """Rows ``(column, prob, value)``, linearly interpolated, nulls ignored."""
     levels = [(p, max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)) for p in probs]
     ends = [end for _, low, high in levels for end in (low, high)]
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    values = df.select(*[F.col(c).cast("double").alias(f"v_{i}") for i, c in enumerate(columns)])
+    cells = [(i, j, c, p) for i, c in enumerate(columns) for j, (p, _, _) in enumerate(levels)]
     sketch = values.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(f"r_{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, ends, ACCURACY).alias(f"q_{i}") for i, c in enumerate(columns)],
+        *[F.count(f"v_{i}").alias(f"n_{i}") for i, _ in enumerate(columns)],
+        *[F.struct(F.min(f"v_{i}").alias("low"), F.max(f"v_{i}").alias("high")).alias(f"r_{i}") for i, _ in enumerate(columns)],
+        *[F.percentile_approx(f"v_{i}", ends, ACCURACY).alias(f"q_{i}") for i, _ in enumerate(columns)],
     )
-    brackets = sketch.select(
+
+    # One row of numbers, whatever the table holds. As literals they reach the scan as filters.
+    row = sketch.first()
+    bounds = {}
+    for i, j, _, _ in cells:
+        if row[f"n_{i}"]:
+            sketched = row[f"q_{i}"][2 * j : 2 * j + 2]
+            bounds[i, j] = tuple(row[f"r_{i}"]) if row[f"n_{i}"] < SMALL else tuple(sketched)
+    cells = [cell for cell in cells if cell[:2] in bounds]
+    if not cells:
+        return df.sparkSession.createDataFrame([], "column string, prob double, value double")
+    below = values.agg(*[F.count_if(F.col(f"v_{i}") < bounds[i, j][0]).alias(f"below_{i}_{j}") for i, j, _, _ in cells]).select(
         F.inline(F.array(*[
             F.struct(
-                F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"n_{i}").alias("n"),
-                F.when(F.col(f"n_{i}") < SMALL, F.col(f"r_{i}.low"))
-                .otherwise(F.try_element_at(F.col(f"q_{i}"), F.lit(2 * j + 1))).alias("low"),
-                F.when(F.col(f"n_{i}") < SMALL, F.col(f"r_{i}.high"))
-                .otherwise(F.try_element_at(F.col(f"q_{i}"), F.lit(2 * j + 2))).alias("high"),
+                F.lit(c).alias("column"), F.lit(p).alias("prob"), F.lit(row[f"n_{i}"]).alias("n"), F.col(f"below_{i}_{j}").alias("below")
             )
-            for i, c in enumerate(columns) for j, (p, _, _) in enumerate(levels)
+            for i, j, c, p in cells
         ]))
     )
-    long = values.unpivot([], list(columns), "column", "value").filter(F.col("value").isNotNull())
-    # The brackets are len(columns) * len(probs) rows whatever the table holds.
-    placed = (
-        long.join(F.broadcast(brackets), "column")
-        .filter(F.col("value") <= F.col("high"))
-        .select("column", "prob", "n", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
-        .groupBy("column", "prob", "n", "value").agg(F.count("*").alias("rows"))
-    )
-    upto = W.partitionBy("column", "prob").orderBy(F.col("value").asc_nulls_first())
+
+    def inside(i: int, j: int):
+        return F.col(f"v_{i}").between(*bounds[i, j])
+
+    # Rows outside all brackets, which are nearly all rows, are dropped before any are multiplied.
+    hits = values.filter(reduce(or_, [inside(i, j) for i, j, _, _ in cells])).select(F.inline(F.array_compact(F.array(*[
+        F.when(inside(i, j), F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"v_{i}").alias("value")))
+        for i, j, c, p in cells
+    ])))).groupBy("column", "prob", "value").agg(F.count("*").alias("rows"))
+    upto = W.partitionBy("column", "prob").orderBy("value")
     rank = (F.col("n") - 1) * F.col("prob")
-    ranked = placed.withColumn("upto", F.sum("rows").over(upto))
+    # `below` has one row per column and wanted rank.
+    ranked = hits.join(F.broadcast(below), ["column", "prob"]).withColumn("upto", F.col("below") + F.sum("rows").over(upto))
 
     def at(position):
         return F.min(F.when(F.col("upto") > position, F.struct(F.col("upto"), F.col("value"))))
 
-    ends_df = ranked.groupBy("column", "prob", "n").agg(at(F.floor(rank)).alias("lo"), at(F.ceil(rank)).alias("hi"))
-    missed = F.col("lo.value").isNull() | F.col("hi.value").isNull()
+    ends_df = ranked.groupBy("column", "prob", "n", "below").agg(at(F.floor(rank)).alias("lo"), at(F.ceil(rank)).alias("hi"))
+    missed = F.col("lo.value").isNull() | F.col("hi.value").isNull() | (F.col("below") > F.floor(rank))
     share = rank - F.floor(rank)
     value = F.col("lo.value") + (F.col("hi.value") - F.col("lo.value")) * share
     checked = F.when(missed, F.raise_error(F.lit("quantile sketch missed a rank")).cast("double")).otherwise(value)

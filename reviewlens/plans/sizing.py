@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from reviewlens.session import shared_folder
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
