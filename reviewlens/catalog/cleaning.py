@@ -182,7 +182,7 @@ def review_key(spark, folder):
 
 @ENTRIES.add("SELECT CAST(count(*) - count(DISTINCT text) AS BIGINT) AS repeated FROM documents")
 def dup_count(spark, folder):
-    return dedup.repeated_count(table(spark, folder, "documents"), ["text"])
+    return dedup.repeated_count(table(spark, folder, "documents"), ["text"], digest=True)
 
 
 @ENTRIES.add("""
@@ -190,7 +190,20 @@ SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY text
 """)
 def dup_rows(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
-    return dedup.repeated_rows(documents, ["text"], ["doc_id"]).drop("text")
+    return dedup.repeated_rows(documents, ["text"], ["doc_id"], digest=True).drop("text")
+
+
+@ENTRIES.add("""
+SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1
+""")
+def dedup_texts(spark, folder):
+    return dedup.keep_first(table(spark, folder, "documents"), ["text"], ["doc_id"], digest=True).select("doc_id", "source", "n_chars")
+
+
+@ENTRIES.add("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def preview_rows(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return cleaning.preview(orders, 20, [F.desc("o_totalprice"), "o_orderkey"])
 
 
 LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"

@@ -63,6 +63,11 @@ def first_row(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(1)
 
 
+def preview(df: DataFrame, n: int, order_by: Sequence[str] = ()) -> DataFrame:
+    """``n`` rows, the first ones in an order if one is given."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)
+
+
 def _text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 

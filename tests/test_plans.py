@@ -110,6 +110,14 @@ def test_dedup(skewed):
     assert not {r.id for r in first} & {r.id for r in repeated.collect()}
 
 
+def test_digest_tells_keys_apart(spark):
+    rows = [("a", "bc", 1), ("ab", "c", 2), (None, "c", 3), ("", "c", 4), (None, "c", 5), ("-", "c", 6), ("a", "bc", 7)]
+    df = spark.createDataFrame(rows, "x string, y string, i int")
+    assert dedup.repeated_count(df, ["x", "y"], digest=True).first().repeated == 2
+    assert sorted(r.i for r in dedup.repeated_rows(df, ["x", "y"], ["i"], digest=True).collect()) == [5, 7]
+    assert sorted(r.i for r in dedup.keep_first(df, ["x", "y"], ["i"], digest=True).collect()) == [1, 2, 3, 4, 6]
+
+
 def test_keep_first_limits_groups_ahead_of_the_shuffle(skewed):
     plan = dedup.keep_first(skewed, ["key"], ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")

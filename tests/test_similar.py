@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,21 @@ def reference_cosines(weights, src):
     return {d: s for d, s in sims.items() if s > 0}
 
 
+def test_counts_in_rows_and_across_rows_agree(documents):
+    inside = features.term_counts(documents, ["doc"], ["text", "name"], unique=True)
+    across = features.term_counts(documents, ["doc"], ["text", "name"])
+    assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, across.collect()))
+
+
+def test_tokeniser_may_be_a_vectorised_user_function(spark, documents):
+    @F.pandas_udf("array<string>")
+    def pairs(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").str.split().map(lambda words: ["_".join(p) for p in zip(words, words[1:])])
+
+    found = features.term_counts(documents.filter("doc = 3"), ["doc"], ["text"], pairs)
+    assert {r.term: r.tf for r in found.collect()} == {"sea_sea": 1, "sea_beach": 1, "beach_all": 1}
+
+
 @pytest.fixture(scope="module")
 def weights(documents):
     counts = features.term_counts(documents, ["doc"], ["text"])
