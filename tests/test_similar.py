@@ -94,7 +94,7 @@ def rank(src, k, plain, exclude=lambda s, d: s == d):
     return out[:k]
 
 
-@pytest.mark.parametrize("max_rows", [2, 1_000_000])
+@pytest.mark.parametrize("max_rows", [2, 11, 1_000_000])
 @pytest.mark.parametrize("mode", ["row", "entity"])
 def test_recommend_per_source(documents, weights, mode, max_rows):
     rows = similar.recommend_per_source(
