@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import types as T
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.isin(np.arange(256), SPACES)
@@ -33,6 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(BASE))[LOWER]
 
 
+def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
+    """A schema with fields of these names and types added."""
+    return T.StructType([*schema.fields, *[T.StructType.fromDDL(f"`{n}` {k}").fields[0] for n, k in kinds.items()]])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column back to back, and where each text starts (one more than texts)."""
     filled = pc.fill_null(column, "").cast(pa.large_binary())

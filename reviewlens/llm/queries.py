@@ -2,16 +2,145 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.catalog.base import Registry, table
-from reviewlens.llm.jaccard import near_copies
+from reviewlens.llm import bloom, bpe, decontaminate, epsilon, jaccard, langid, lines, pii, quality, secrets
+from reviewlens.llm.spans import count, written
+from reviewlens.plans.sizing import materialise
 
 ENTRIES = Registry()
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+LEAST_QUALITY = 0.7
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def encoded(docs: DataFrame, *keep: str) -> DataFrame:
+    """Columns of the documents with ids, their number, and digests of the ids and of what they decode to."""
+    ranks = bpe.load_ranks(RANKS)
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=keep)
+    back = bpe.decode(ids, ranks)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return back.select(
+        *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "ids",
+    )
+
+
+@ENTRIES.add()
+def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, by their number and digest, and the digest of the decoded text."""
+    return encoded(table(spark, folder, "documents"), "doc_id").drop("ids")
 
 
 @ENTRIES.add()
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 3-word shingles overlap by 90 % or more."""
-    return near_copies(table(spark, folder, "documents"), k=3, percent=90)
+    return jaccard.near_copies(table(spark, folder, "documents"), k=3, percent=90)
+
+
+@ENTRIES.add()
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of embeddings of one label with a cosine of 0.93 or more."""
+    return epsilon.near_vectors(table(spark, folder, "embeddings"), least=0.93)
+
+
+@ENTRIES.add()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, by models of the training folds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@ENTRIES.add()
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
+
+@ENTRIES.add()
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs)).select("doc_id", "spans")
+    counts = [count(F.col("spans"), k).alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    base = F.sha2(written(F.col("spans"), secrets.KINDS, base_only=True), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), written(F.col("spans"), secrets.KINDS).alias("spans"))
+
+
+@ENTRIES.add()
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that occur in documents: one row per document and item, with the number of errors."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.benchmark_matches(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", F.col("m.errors").alias("n_errors"))
+
+
+LINES_SQL = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at FROM documents),
+keyed AS (
+  SELECT doc_id, at, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM split),
+often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY at) AS text FROM keyed
+         WHERE key NOT IN (SELECT key FROM often) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM often)) AS n_dropped
+            FROM keyed GROUP BY doc_id)
+SELECT counted.doc_id, n_lines, n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM counted LEFT JOIN kept ON counted.doc_id = kept.doc_id"""
+
+
+@ENTRIES.add(LINES_SQL)
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines that ten documents or more share."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = lines.drop_frequent_lines(docs, least_docs=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+URL_SQL = """
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+ruled AS (SELECT page_id, host, path, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM parts),
+listed AS (SELECT DISTINCT host FROM ruled WHERE rule IN ('example.com/en/', 'net/es/', 'net/fr/'))
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
+
+
+@ENTRIES.add(URL_SQL)
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on urls: by the longest rule, else by whether the host has a page that a rule blocks."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    host, path = bloom.split_url(F.col("url"))
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = bloom.longest_rule(F.col("host"), F.col("path"), URL_RULES)
+    ruled = parts.select("*", rule.alias("rule"), verdict.alias("ruled"))
+    hosts = materialise(ruled.groupBy("host").agg(F.coalesce(F.max(F.col("ruled") == "block"), F.lit(False)).alias("listed")))
+    marked = bloom.mark_listed(ruled, "host", hosts.where("listed").select("host"), hosts.select("host"))
+    found = F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow"))
+    return marked.select("page_id", "host", "path", "rule", found.alias("verdict"))
+
+
+@ENTRIES.add()
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_personal(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [count(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    base = F.sha2(written(F.col("spans"), pii.KINDS, base_only=True), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), written(F.col("spans"), pii.KINDS).alias("spans"))
