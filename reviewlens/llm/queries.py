@@ -85,12 +85,12 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 LINES_SQL = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at FROM documents),
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents),
 keyed AS (
-  SELECT doc_id, at, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+  SELECT doc_id, place, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM split),
 often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY at) AS text FROM keyed
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS text FROM keyed
          WHERE key NOT IN (SELECT key FROM often) GROUP BY doc_id),
 counted AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM often)) AS n_dropped
             FROM keyed GROUP BY doc_id)
