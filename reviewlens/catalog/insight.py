@@ -137,16 +137,25 @@ SELECT 'strengths' AS section, criteria AS label, round(value, 6) AS value FROM
 UNION ALL SELECT 'users', user, n FROM users
 UNION ALL SELECT 'nights', CAST(nights AS VARCHAR), count(*) FROM chosen GROUP BY nights
 UNION ALL SELECT 'words', word, n FROM words
+UNION ALL SELECT 'overview', p_name, p_partkey FROM entities WHERE contains(lower(p_name), 'red widget')
+UNION ALL SELECT 'groups', segment, n FROM (SELECT segment, count(*) AS n FROM chosen GROUP BY segment ORDER BY n DESC, segment LIMIT 10)
+UNION ALL SELECT 'trend', CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR), count(*) FROM chosen GROUP BY 2
+UNION ALL SELECT 'months', CAST(m AS VARCHAR), (SELECT count(*) FROM chosen WHERE month = m) FROM (SELECT unnest(range(1, 13)) AS m)
+UNION ALL SELECT 'room_types', room, n FROM (SELECT room, count(*) AS n FROM chosen GROUP BY room ORDER BY n DESC, room LIMIT 5)
+UNION ALL SELECT 'score_histogram', CAST(low AS VARCHAR), (SELECT count(*) FROM chosen WHERE score BETWEEN 0 AND 10 AND least(floor(score), 9) = low) FROM (SELECT unnest(range(10)) AS low)
+UNION ALL SELECT 'mean_score', 'mean', round(avg(mean_score), 6) FROM chosen
 """)
 def insight_bundle_long(spark, folder):
     made = insight.insight_bundle(
         _entities(spark, folder), _described(spark, folder), COLUMNS, id_col="p_partkey", name_col="p_name",
         overview_columns=["p_partkey", "p_name"], criteria=CRITERIA, keyword=KEYWORD,
     )
-    stacked = insight.long_form({
-        "strengths": made["strengths_weaknesses"].select("criteria", "value"), "users": made["users"], "nights": made["nights"],
-        "words": made["words"],
-    })
+    pairs = {
+        "overview": ("p_name", "p_partkey"), "strengths_weaknesses": ("criteria", "value"), "score_histogram": ("low", "n"),
+        "mean_score": (F.lit("mean").alias("label"), "mean_score"),
+    }
+    named = {"strengths_weaknesses": "strengths"}
+    stacked = insight.long_form({named.get(k, k): made[k].select(*pairs.get(k, made[k].columns[:2])) for k in made})
     return rounded(stacked, 6, "value")
 
 

@@ -60,9 +60,9 @@ def vocabulary(spark, folder):
     return features.vocabulary(_bag(spark, folder))
 
 
-@ENTRIES.add(f"WITH {_BAG_SQL}, {_weights_sql('log2', '(SELECT count(DISTINCT doc) FROM counts)')} SELECT doc, term, round(weight, 6) AS weight FROM weights")
+@ENTRIES.add(f"WITH {_BAG_SQL}, {_weights_sql('log2', '(SELECT count(*) FROM documents)')} SELECT doc, term, round(weight, 6) AS weight FROM weights")
 def tfidf_log2(spark, folder):
-    return rounded(features.tfidf(_bag(spark, folder), scheme="log2"), 6, "weight")
+    return rounded(features.tfidf(_bag(spark, folder), _texts(spark, folder), "log2"), 6, "weight")
 
 
 # Sources as entities, described by the supplier of the same number; languages as variants.
@@ -134,23 +134,29 @@ def corpus_terms(spark, folder):
 
 _PAIRS_SQL = f"""
 matches AS (SELECT * FROM docs WHERE regexp_matches(name, '{KEYWORD}')),
-pairs AS (SELECT q.doc AS src, d.doc AS rec, round(sum(q.weight * d.weight), 9) AS sim
-  FROM weights q JOIN matches m ON q.doc = m.doc JOIN weights d ON q.term = d.term WHERE q.doc <> d.doc GROUP BY q.doc, d.doc)"""
+shared AS (SELECT q.doc AS src, d.doc AS rec, sum(q.weight * d.weight) AS dot
+  FROM weights q JOIN matches m ON q.doc = m.doc JOIN weights d ON q.term = d.term GROUP BY q.doc, d.doc),
+pairs AS (SELECT m.doc AS src, d.doc AS rec, round(coalesce(dot, 0), 9) AS sim
+  FROM matches m CROSS JOIN docs d LEFT JOIN shared ON shared.src = m.doc AND shared.rec = d.doc WHERE m.doc <> d.doc)"""
 _SMOOTH_SQL = f"WITH {_entity_counts_sql(_terms_of)}, {_weights_sql('smooth', '(SELECT count(*) FROM docs)')}, {_PAIRS_SQL}"
-_LOG2_SQL = f"WITH {_entity_counts_sql(_tokens_of)}, {_weights_sql('log2', '(SELECT count(DISTINCT doc) FROM counts)')}, {_PAIRS_SQL}"
+_LOG2_SQL = f"WITH {_entity_counts_sql(_tokens_of)}, {_weights_sql('log2', '(SELECT count(*) FROM docs)')}, {_PAIRS_SQL}"
 
 
 def _smooth(spark, folder):
     documents = _documents(spark, folder)
-    # Stored, as the saved weights a recommender is served from would be.
-    return documents, materialise(features.tfidf(_entity_counts(spark, folder, documents), documents, "smooth"))
+    weights = features.tfidf(_entity_counts(spark, folder, documents), documents, "smooth")
+    # Stored, as the saved profiles a recommender is served from would be.
+    return documents, materialise(similar.document_profiles(weights, documents, "source"))
 
 
-@ENTRIES.add(f"{_SMOOTH_SQL} SELECT src, rec, round(sim, 6) AS sim FROM pairs")
+@ENTRIES.add(f"""{_SMOOTH_SQL},
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY sim DESC, rec) AS INTEGER) AS rank FROM pairs)
+SELECT src, rec, round(sim, 6) AS sim, rank FROM ranked WHERE rank <= 20
+""")
 def similar_docs(spark, folder):
-    documents, weights = _smooth(spark, folder)
-    pairs = similar.similarities(weights, similar.find_by_keyword(documents, "name", KEYWORD))
-    return rounded(pairs.filter("src <> rec"), 6, "sim")
+    documents, profiles = _smooth(spark, folder)
+    found = similar.top_documents(profiles, similar.find_by_keyword(documents, "name", KEYWORD), 20)
+    return rounded(found, 6, "sim")
 
 
 @ENTRIES.add(f"""{_SMOOTH_SQL},
@@ -162,8 +168,8 @@ SELECT src AS source_doc, CAST(rank AS INTEGER) AS rank, s.source AS source_id,
 FROM ranked JOIN docs s ON src = s.doc JOIN docs r ON rec = r.doc WHERE rank <= 5
 """)
 def recommend_keyword_per_source(spark, folder):
-    documents, weights = _smooth(spark, folder)
-    return similar.recommend_per_source(weights, documents, entity="source", name="name", keyword=KEYWORD, k=5, attributes=["address"])
+    documents, profiles = _smooth(spark, folder)
+    return similar.recommend_per_source(profiles, documents, entity="source", name="name", keyword=KEYWORD, k=5, attributes=["address"])
 
 
 @ENTRIES.add(f"""{_SMOOTH_SQL},
@@ -175,9 +181,9 @@ SELECT s.source AS source_id, s.name AS source_name, r.source AS recommended_id,
 FROM top JOIN docs s ON src = s.doc JOIN docs r ON rec = r.doc
 """)
 def recommend_keyword_other_entities(spark, folder):
-    documents, weights = _smooth(spark, folder)
+    documents, profiles = _smooth(spark, folder)
     return similar.recommend_pooled(
-        weights, documents, entity="source", name="name", keyword=KEYWORD, k=10, attributes=["address"], exclude_self="entity"
+        profiles, documents, entity="source", name="name", keyword=KEYWORD, k=10, attributes=["address"], exclude_self="entity"
     )
 
 
@@ -190,8 +196,8 @@ SELECT s.source AS source_id, s.name AS source_name, r.source AS recommended_id,
 FROM top JOIN docs s ON src = s.doc JOIN docs r ON rec = r.doc
 """)
 def recommend_keyword_pooled(spark, folder):
-    documents, weights = _smooth(spark, folder)
-    return similar.recommend_pooled(weights, documents, entity="source", name="name", keyword=KEYWORD, k=10, attributes=["address"])
+    documents, profiles = _smooth(spark, folder)
+    return similar.recommend_pooled(profiles, documents, entity="source", name="name", keyword=KEYWORD, k=10, attributes=["address"])
 
 
 @ENTRIES.add(f"""{_LOG2_SQL},
@@ -203,8 +209,9 @@ SELECT source_name, recommended_name, address, round(sim, 6) AS score FROM first
 """)
 def recommend_index(spark, folder):
     documents = _documents(spark, folder)
-    weights = materialise(features.tfidf(_entity_counts(spark, folder, documents, ft.stripped_tokens(STOP_WORDS)), scheme="log2"))
-    found = similar.recommend_from_index(weights, documents, entity="source", name="name", keyword=KEYWORD, k=5, attributes=["address"])
+    weights = features.tfidf(_entity_counts(spark, folder, documents, ft.stripped_tokens(STOP_WORDS)), documents, "log2")
+    profiles = materialise(similar.document_profiles(weights, documents))
+    found = similar.recommend_from_index(profiles, documents, entity="source", name="name", keyword=KEYWORD, k=5, attributes=["address"])
     return rounded(found, 6, "score")
 
 
@@ -249,10 +256,23 @@ def vector_cosine(spark, folder):
 
 
 @ENTRIES.add(f"""WITH {_CENTROIDS_SQL},
-ranked AS (SELECT c.label AS query, vec_id, round({_COSINE_SQL}, 9) AS cosine FROM embeddings, centroids c),
+ranked AS (SELECT CAST(c.label AS BIGINT) AS query, vec_id, round({_COSINE_SQL}, 9) AS cosine FROM embeddings, centroids c),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM ranked)
 SELECT query, vec_id, rank, round(cosine, 6) AS cosine FROM top WHERE rank <= 10
 """)
 def vector_topk(spark, folder):
-    queries = _centroids(spark, folder).select(F.col("label").alias("query"), F.col("centroid").alias("vector"))
+    queries = _centroids(spark, folder).select(F.col("label").cast("long").alias("query"), F.col("centroid").alias("vector"))
     return rounded(similar.top_vectors(table(spark, folder, "embeddings"), queries, "vec_id", "embedding", 10), 6, "cosine")
+
+
+@ENTRIES.add("""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ranked AS (SELECT a.vec_id AS query, b.vec_id AS vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS cosine
+  FROM v a, v b WHERE a.vec_id <> b.vec_id),
+top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM ranked)
+SELECT query, vec_id, rank, round(cosine, 6) AS cosine FROM top WHERE rank <= 10
+""")
+def vector_topk_items(spark, folder):
+    items = table(spark, folder, "embeddings")
+    queries = items.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return rounded(similar.top_vectors(items, queries, "vec_id", "embedding", 10, exclude_self=True), 6, "cosine")

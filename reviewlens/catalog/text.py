@@ -16,7 +16,7 @@ SPACE = r"[\s\x0b\x85\p{Z}]+"
 TERMS_SQL = rf"regexp_extract_all(lower(text), '{ft.TERM_PATTERN}')"
 CLOUD_SQL = "regexp_extract_all(lower(text), '" + ft.CLOUD_PATTERN.replace("'", "''") + "')"
 WORDS_SQL = rf"list_filter(string_split_regex(text, '{SPACE}'), lambda w: w <> '')"
-ODD_TEXT = "CASE lang WHEN 'de' THEN '12 + 3' WHEN 'es' THEN 'Привет' WHEN 'fr' THEN NULL ELSE text END"
+ODD_TEXT = "CASE doc_id % 11 WHEN 3 THEN '12 + 3' WHEN 5 THEN 'Привет' WHEN 7 THEN NULL ELSE text END"
 # Order matters: the second entry sees what the first one wrote, the empty value is skipped.
 DICTIONARY = (("the", "đã"), ("đã", "das"), ("a", "á"), ("en", ""), ("la", "LA"), ("y", "i"))
 STOP_WORDS = ft.LANGUAGE_WORDS["en"]
@@ -135,7 +135,7 @@ def word_counts_sql(where: str, n: int) -> str:
     """SQL of the word-cloud counts over the documents that meet a condition."""
     return rf"""
 WITH t AS (SELECT unnest({CLOUD_SQL}) AS word FROM documents WHERE {where}),
-w AS (SELECT regexp_replace(word, '''s$', '') AS word FROM t WHERE NOT regexp_matches(word, '^\p{{N}}+$')),
+s AS (SELECT regexp_replace(word, '''s$', '') AS word FROM t), w AS (SELECT word FROM s WHERE NOT regexp_matches(word, '^\p{{N}}+$')),
 c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' AND word NOT IN ({quoted(STOP_WORDS)}) GROUP BY word),
 m AS (SELECT CASE WHEN c.word LIKE '%s' AND c.word NOT LIKE '%ss' AND s.word IS NOT NULL THEN s.word ELSE c.word END AS word, c.n
   FROM c LEFT JOIN c s ON s.word = left(c.word, -1)),

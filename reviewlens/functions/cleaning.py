@@ -15,6 +15,7 @@ NIGHTS_PATTERN = r"Đã ở (\d+) đêm"
 MONTH_PATTERN = r"Tháng\s+(\d+)"
 LOCAL_DATE_PATTERN = r"(\d+)\s+tháng\s+(\d+)\s+(\d+)"
 
+# Fixed value: the number in a rank text.
 NUMBER_PATTERN = r"(\d+(?:\.\d+)?)"
 # Plain and scientific notation only: Spark's own cast would also read "1d" and "inf".
 DECIMAL_GUARD = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -71,13 +72,16 @@ def extract_int(column: Column, pattern: str, strict: bool = False) -> Column:
 
 
 def local_date(column: Column, pattern: str = LOCAL_DATE_PATTERN, strict: bool = False) -> Column:
-    """Date from text such as ``12 tháng 8 2023``; the three groups are day, month, year."""
+    """Date from text such as ``12 tháng 8 2023``; the three groups are day, month, year.
+
+    Text without a match gives null; ``strict`` fails the job for a date that does not exist.
+    """
     day, month, year = (extract_group(column, pattern, g) for g in (1, 2, 3))
     slashed = F.when(day.isNotNull(), F.concat_ws("/", day, month, year))
     value = F.try_to_timestamp(slashed, F.lit("d/M/yyyy")).cast("date")
     if strict:
-        bad = column.isNotNull() & value.isNull()
-        return F.when(bad, F.raise_error(F.lit("unreadable date in row")).cast("date")).otherwise(value)
+        bad = day.isNotNull() & value.isNull()
+        return F.when(bad, F.raise_error(F.lit("impossible date in row")).cast("date")).otherwise(value)
     return value
 
 

@@ -23,7 +23,7 @@ TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # Words of a word cloud may hold apostrophes and be a single character.
 CLOUD_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_']*"
 
-# Frequent function words per language, the evidence for the language vote.
+# Frequent function words per language, the evidence for the language vote. Own choice.
 LANGUAGE_WORDS: dict[str, tuple[str, ...]] = {
     "de": ("aber", "als", "auch", "auf", "das", "dem", "den", "der", "die", "ein", "eine", "für",
            "ich", "ist", "mit", "nicht", "sich", "sie", "und", "von", "war", "wie", "wir", "zu"),
@@ -77,10 +77,10 @@ def counted(tokens: Column) -> Column:
 
 
 def cloud_words(text: Column) -> Column:
-    """Lower-case words for a word cloud: no pure numbers, possessive ``'s`` cut off."""
+    """Lower-case words for a word cloud: possessive ``'s`` cut off, then no pure numbers."""
     found = F.regexp_extract_all(F.lower(text), F.lit(CLOUD_PATTERN), F.lit(0))
-    kept = F.filter(found, lambda word: ~word.rlike(r"^\p{N}+$"))
-    return F.transform(kept, lambda word: F.regexp_replace(word, "'s$", ""))
+    cut = F.transform(found, lambda word: F.regexp_replace(word, "'s$", ""))
+    return F.filter(cut, lambda word: ~word.rlike(r"^\p{N}+$"))
 
 
 def stripped_tokens(stop_words: Sequence[str]) -> Tokeniser:

@@ -15,7 +15,7 @@ CRITERIA = (RANK, *SCORES)
 OVERVIEW = (ID, NAME, RANK, ADDRESS, *SCORES, "comments_count")
 ENTITY_COLUMNS = (ID, NAME, RANK_TEXT, ADDRESS, DESCRIPTION, *NUMBERS)
 
-# Names in the review table, as in the file header.
+# Names in the review table, and which of its columns are used for what.
 REVIEW_COLUMNS = (
     "num", "Hotel ID", "Reviewer ID", "Reviewer Name", "Nationality", "Group Name", "Room Type", "Stay Details",
     "Review Date", "Score", "Body",

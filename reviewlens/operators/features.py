@@ -7,7 +7,7 @@ document are the sum of the counts of its pieces.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover, Tokenizer
@@ -129,17 +129,16 @@ IDF_FORMULAS = {"smooth": _smooth_idf, "log2": _log2_idf}
 
 
 def tfidf(
-    counts: DataFrame, documents: DataFrame | None = None, scheme: str = "smooth", max_rows: int = BROADCAST_ROWS
+    counts: DataFrame, documents: DataFrame, scheme: str = "smooth", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Weights ``(doc, term, weight)`` of unit length per document.
 
     ``smooth`` is ``tf * (ln((1 + n) / (1 + df)) + 1)``; ``log2`` is ``tf * log2(n / df)``, where
-    terms in every document vanish. ``n`` counts ``documents`` if given (they may include empty
-    ones), else the documents that have a term.
+    terms in every document vanish. ``n`` counts ``documents``, empty ones too.
     """
     formula = IDF_FORMULAS[scheme]
     counts = materialise(counts)
-    total = documents.agg(F.count("*").alias("n")) if documents is not None else counts.agg(F.countDistinct("doc").alias("n"))
+    total = documents.agg(F.count("*").alias("n"))
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).select(
         "term", formula(total.scalar(), F.col("df")).alias("idf")
     )
@@ -202,8 +201,3 @@ def word_list(words: DataFrame, column: str = "word", max_rows: int = 20_000) ->
     if len(rows) > max_rows:
         raise ValueError(f"word list has more than {max_rows} entries")
     return [r[column] for r in rows]
-
-
-def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Rename columns."""
-    return df.withColumnsRenamed(dict(names))

@@ -48,7 +48,7 @@ def test_stay_details(column):
 def test_local_date(column):
     text = ["Đã nhận xét vào 12 tháng 8 2023", "31 tháng 2 2023", None, "sometime"]
     assert column(fc.local_date, text) == [dt.date(2023, 8, 12), None, None, None]
-    with pytest.raises(Exception, match="unreadable date"):
+    with pytest.raises(Exception, match="impossible date"):
         column(lambda c: fc.local_date(c, strict=True), text)
 
 

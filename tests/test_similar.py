@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import vectors
 from reviewlens.operators import features, similar
+from reviewlens.plans.sizing import materialise
 from reviewlens.sources.artefacts import load_artefacts, save_artefacts
 
 TEXTS = {
@@ -26,7 +27,7 @@ def documents(spark):
 def reference_weights(scheme):
     counts = {d: Counter(t.split()) for d, (_, _, t) in TEXTS.items()}
     df = Counter(w for c in counts.values() for w in c)
-    n = len(TEXTS) if scheme == "smooth" else sum(1 for c in counts.values() if c)
+    n = len(TEXTS)
     out = {}
     for d, c in counts.items():
         raw = {w: k * (math.log((1 + n) / (1 + df[w])) + 1 if scheme == "smooth" else math.log2(n / df[w])) for w, k in c.items()}
@@ -37,8 +38,7 @@ def reference_weights(scheme):
 
 
 def reference_cosines(weights, src):
-    sims = {d: sum(x * weights[src].get(w, 0) for w, x in v.items()) for d, v in weights.items()}
-    return {d: s for d, s in sims.items() if s > 0}
+    return {d: sum(x * weights[src].get(w, 0) for w, x in v.items()) for d, v in weights.items()}
 
 
 def test_counts_in_rows_and_across_rows_agree(documents):
@@ -66,22 +66,16 @@ def weights(documents):
 @pytest.mark.parametrize("scheme", ["smooth", "log2"])
 def test_tfidf(documents, scheme, max_rows):
     counts = features.term_counts(documents, ["doc"], ["text"])
-    made = features.tfidf(counts, documents if scheme == "smooth" else None, scheme, max_rows)
+    made = features.tfidf(counts, documents, scheme, max_rows)
     wanted = {(d, w): x for d, v in reference_weights(scheme).items() for w, x in v.items()}
     found = {(r.doc, r.term): r.weight for r in made.collect()}
     assert found.keys() == wanted.keys()
     assert all(found[k] == pytest.approx(wanted[k]) for k in wanted)
 
 
-@pytest.mark.parametrize("max_rows", [3, 1_000_000])
-def test_similarities_in_one_or_several_rounds(documents, weights, max_rows):
-    sources = documents.filter("doc IN (0, 3, 4)")
-    found = {(r.src, r.rec): r.sim for r in similar.similarities(weights, sources, max_rows).collect()}
-    plain = reference_weights("smooth")
-    wanted = {(s, d): x for s in (0, 3, 4) for d, x in reference_cosines(plain, s).items()}
-    assert found.keys() == wanted.keys()
-    assert all(found[k] == pytest.approx(wanted[k], abs=1e-8) and found[k] <= 1 + 1e-9 for k in wanted)
-    assert found[0, 0] == pytest.approx(1) and found[0, 3] == pytest.approx(found[3, 0])
+@pytest.fixture(scope="module")
+def profiles(documents, weights):
+    return materialise(similar.document_profiles(weights, documents, "entity"))
 
 
 def rank(src, k, plain, exclude=lambda s, d: s == d):
@@ -94,22 +88,23 @@ def rank(src, k, plain, exclude=lambda s, d: s == d):
     return out[:k]
 
 
-@pytest.mark.parametrize("max_rows", [2, 11, 1_000_000])
-@pytest.mark.parametrize("mode", ["row", "entity"])
-def test_recommend_per_source(documents, weights, mode, max_rows):
+@pytest.mark.parametrize("terms", [2, 11, 1_000_000])
+@pytest.mark.parametrize("mode, k", [("row", 2), ("entity", 2), ("row", 99)])
+def test_recommend_per_source(documents, profiles, mode, k, terms):
     rows = similar.recommend_per_source(
-        weights, documents, entity="entity", name="name", keyword="^sea", k=2, exclude_self=mode, max_rows=max_rows
+        profiles, documents, entity="entity", name="name", keyword="^sea", k=k, exclude_self=mode, query_terms=terms
     ).collect()
     plain = reference_weights("smooth")
     skip = (lambda s, d: s == d) if mode == "row" else (lambda s, d: TEXTS[s][0] == TEXTS[d][0])
     for src in (0, 1, 3):
         mine = [(r.recommended_id, r.similarity) for r in sorted(rows, key=lambda r: r["rank"]) if r.source_doc == src]
-        assert mine == [(TEXTS[d][0], round(s, 3)) for d, s in rank(src, 2, plain, skip)]
+        assert mine == [(TEXTS[d][0], round(s, 3)) for d, s in rank(src, k, plain, skip)]
+        assert len(mine) == min(k, 6 if mode == "row" and TEXTS[src][0] == "A" else 5)
     assert {r.source_doc for r in rows} == {0, 1, 3}
 
 
-def test_recommend_pooled(documents, weights):
-    rows = similar.recommend_pooled(weights, documents, entity="entity", name="name", keyword="sea", k=3).collect()
+def test_recommend_pooled(documents, profiles):
+    rows = similar.recommend_pooled(profiles, documents, entity="entity", name="name", keyword="sea", k=3).collect()
     assert len({r.recommended_id for r in rows}) == 3
     plain = reference_weights("smooth")
     best = Counter()
@@ -120,8 +115,8 @@ def test_recommend_pooled(documents, weights):
     assert [(r.recommended_id, r.similarity) for r in rows] == wanted
 
 
-def test_recommend_from_index_keeps_first_row_per_name(documents, weights):
-    rows = similar.recommend_from_index(weights, documents, entity="entity", name="name", keyword="sea", k=3).collect()
+def test_recommend_from_index_keeps_first_row_per_name(documents, profiles):
+    rows = similar.recommend_from_index(profiles, documents, entity="entity", name="name", keyword="sea", k=3).collect()
     names = [r.recommended_name for r in rows]
     assert len(names) == len(set(names)) and [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
     plain = reference_weights("smooth")
@@ -133,15 +128,25 @@ def test_recommend_from_index_keeps_first_row_per_name(documents, weights):
     assert {r.recommended_name: r.score for r in rows} == {n: pytest.approx(s, abs=1e-8) for n, s in first.items()}
 
 
-def test_equal_similarity_goes_to_the_lower_document(documents, weights):
-    rows = similar.top_documents(weights, documents.filter("doc = 0"), 9).orderBy("rank").collect()
+def test_equal_similarity_goes_to_the_lower_document(documents, profiles):
+    rows = similar.top_documents(profiles, documents.filter("doc = 0"), 9).orderBy("rank").collect()
     order = [r.rec for r in rows]
     assert order.index(2) + 1 == order.index(5)
 
 
-def test_no_match_and_empty_document(documents, weights):
-    assert similar.recommend_per_source(weights, documents, entity="entity", name="name", keyword="nowhere").count() == 0
-    assert similar.recommend_per_source(weights, documents, entity="entity", name="name", keyword="void").count() == 0
+def test_no_match_and_empty_document(documents, profiles):
+    assert similar.recommend_per_source(profiles, documents, entity="entity", name="name", keyword="nowhere").count() == 0
+    rows = similar.recommend_per_source(profiles, documents, entity="entity", name="name", keyword="void", k=3).orderBy("rank").collect()
+    assert [(r.recommended_id, r.similarity) for r in rows] == [("A", 0), ("B", 0), ("C", 0)]
+
+
+@pytest.mark.parametrize("queries", [2, 1000])
+def test_nearest_vectors_in_any_number_of_blocks(spark, queries):
+    rows = {1: [1.0, 0.0], 2: [1.0, 0.1], 3: [0.0, 1.0], 4: [0.0, 0.0], 5: None, 6: [2.0, 0.0]}
+    df = spark.createDataFrame([(i, v) for i, v in rows.items()], "id long, v array<double>")
+    found = similar.top_vectors(df, df.select(F.col("id").alias("query"), F.col("v").alias("vector")), "id", "v", 2, queries, exclude_self=True)
+    best = {(r["query"], r["rank"]): (r["id"], round(r["cosine"], 3)) for r in found.collect()}
+    assert len(best) == 12 and best[1, 1] == (6, 1.0) and best[1, 2] == (2, 0.995) and best[3, 1] == (2, 0.1) and best[4, 1] == (1, 0.0)
 
 
 @pytest.fixture(scope="module")

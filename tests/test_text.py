@@ -57,7 +57,7 @@ def test_replace_tokens(column):
 def test_tokens(column):
     assert column(ft.terms, ["Xin CHÀO, a room_type: 42!"]) == [["xin", "chào", "room_type", "42"]]
     assert column(ft.stripped_tokens(["the"]), ["The_room, the (pool)!"]) == [["The", "room", "pool"]]
-    assert column(ft.cloud_words, ["Hotel's staff don't 24 b2"]) == [["hotel", "staff", "don't", "b2"]]
+    assert column(ft.cloud_words, ["Hotel's staff don't 24 b2 1990's"]) == [["hotel", "staff", "don't", "b2"]]
 
 
 def test_language_vote_ties_and_unknown(column):
