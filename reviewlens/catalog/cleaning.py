@@ -268,7 +268,7 @@ def roundtrip_csv_parquet(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
     path = shared_folder(spark)
     write_csv(parts, f"{path}/csv")
-    write_parquet(read_raw_csv(spark, f"{path}/csv", parts.schema), f"{path}/parquet", ["p_brand"])
+    write_parquet(read_raw_csv(spark, f"{path}/csv", parts.schema, multiline=False), f"{path}/parquet", ["p_brand"])
     return read_clean(spark, f"{path}/parquet").select(*parts.columns)
 
 
@@ -277,7 +277,7 @@ def roundtrip_csv_text(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
     path = shared_folder(spark)
     write_csv(documents, path)
-    return read_raw_csv(spark, path, documents.schema)
+    return read_raw_csv(spark, path, documents.schema, multiline=True)
 
 
 @ENTRIES.add("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders")

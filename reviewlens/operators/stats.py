@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from reviewlens.functions.cleaning import half_even, month_of
-from reviewlens.plans.quantiles import exact_quantiles
+from reviewlens.plans.quantiles import summarise
 from reviewlens.plans.sizing import BROADCAST_ROWS, join_lookup
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -17,19 +17,12 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 def describe(df: DataFrame, columns: Sequence[str], digits: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
-    summary = df.agg(*[
-        F.struct(
-            F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"),
-        ).alias(f"s_{i}")
-        for i, c in enumerate(columns)
-    ]).select(F.inline(F.array(*[f"s_{i}" for i in range(len(columns))])))
-    quartiles = exact_quantiles(df, columns, list(QUARTILES.values())).groupBy("column").agg(*[
-        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for name, p in QUARTILES.items()
-    ])
-    # Both sides have one row per described column.
-    joined = summary.join(F.broadcast(quartiles), "column", "left")
+    rows = [
+        (s.column, s.count, s.mean, s.std, s.low, *[s.quantiles.get(p) for p in QUARTILES.values()], s.high)
+        for s in summarise(df, columns, list(QUARTILES.values()))
+    ]
     numbers = ["mean", "std", "min", *QUARTILES, "max"]
+    joined = df.sparkSession.createDataFrame(rows, "column string, count long, " + ", ".join(f"{c} double" for c in numbers))
     if digits is not None:
         joined = joined.withColumns({c: half_even(F.col(c), digits) for c in numbers})
     return joined.select("column", "count", *numbers)

@@ -1,76 +1,107 @@
-"""Exact quantiles of unbounded columns.
+"""Exact quantiles of unbounded columns in two passes.
 
-``percentile`` keeps every distinct value of a column in one aggregation buffer. Here a mergeable
-sketch brackets each wanted rank, the rows below the bracket are counted, and only the rows inside
-it (a fixed small share of the table) are ranked.
+``percentile`` keeps every distinct value of a column in one aggregation buffer. Here the first pass
+takes a mergeable sketch, which brackets each wanted rank, together with the plain summaries. The
+second counts the values inside the brackets one by one and those between brackets in one number; a
+distributed running total over these counts gives the ranks. Where a bracket misses its rank the
+second pass repeats with wider brackets, at last with the whole range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
+from dataclasses import dataclass, field
+from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-MARGIN = 1e-4
+from reviewlens.plans.positions import with_running_total
+
+# Half widths of the brackets, as shares of the rows.
+MARGINS = (1e-4, 1e-2, 1.0)
 ACCURACY = 100_000
-# Below this many values a margin is a few ranks only; all of them are ranked then.
-SMALL = 100_000
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Rows ``(column, prob, value)``, linearly interpolated, nulls ignored."""
-    levels = [(p, max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)) for p in probs]
-    ends = [end for _, low, high in levels for end in (low, high)]
+@dataclass
+class Summary:
+    """One column: plain summaries, and its quantiles by probability."""
+
+    column: str
+    count: int
+    mean: float | None
+    std: float | None
+    low: float | None
+    high: float | None
+    quantiles: dict[float, float] = field(default_factory=dict)
+
+
+def summarise(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> list[Summary]:
+    """Summaries of all columns; nulls are ignored, quantiles linearly interpolated."""
     values = df.select(*[F.col(c).cast("double").alias(f"v_{i}") for i, c in enumerate(columns)])
-    cells = [(i, j, c, p) for i, c in enumerate(columns) for j, (p, _, _) in enumerate(levels)]
-    sketch = values.agg(
-        *[F.count(f"v_{i}").alias(f"n_{i}") for i, _ in enumerate(columns)],
-        *[F.struct(F.min(f"v_{i}").alias("low"), F.max(f"v_{i}").alias("high")).alias(f"r_{i}") for i, _ in enumerate(columns)],
-        *[F.percentile_approx(f"v_{i}", ends, ACCURACY).alias(f"q_{i}") for i, _ in enumerate(columns)],
-    )
-
-    # One row of numbers, whatever the table holds. As literals they reach the scan as filters.
-    row = sketch.first()
-    bounds = {}
-    for i, j, _, _ in cells:
-        if row[f"n_{i}"]:
-            sketched = row[f"q_{i}"][2 * j : 2 * j + 2]
-            bounds[i, j] = tuple(row[f"r_{i}"]) if row[f"n_{i}"] < SMALL else tuple(sketched)
-    cells = [cell for cell in cells if cell[:2] in bounds]
-    if not cells:
-        return df.sparkSession.createDataFrame([], "column string, prob double, value double")
-    below = values.agg(*[F.count_if(F.col(f"v_{i}") < bounds[i, j][0]).alias(f"below_{i}_{j}") for i, j, _, _ in cells]).select(
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(c).alias("column"), F.lit(p).alias("prob"), F.lit(row[f"n_{i}"]).alias("n"), F.col(f"below_{i}_{j}").alias("below")
-            )
-            for i, j, c, p in cells
-        ]))
-    )
-
-    def inside(i: int, j: int):
-        return F.col(f"v_{i}").between(*bounds[i, j])
-
-    # Rows outside all brackets, which are nearly all rows, are dropped before any are multiplied.
-    hits = values.filter(reduce(or_, [inside(i, j) for i, j, _, _ in cells])).select(F.inline(F.array_compact(F.array(*[
-        F.when(inside(i, j), F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"v_{i}").alias("value")))
-        for i, j, c, p in cells
-    ])))).groupBy("column", "prob", "value").agg(F.count("*").alias("rows"))
-    upto = W.partitionBy("column", "prob").orderBy("value")
-    rank = (F.col("n") - 1) * F.col("prob")
-    # `below` has one row per column and wanted rank.
-    ranked = hits.join(F.broadcast(below), ["column", "prob"]).withColumn("upto", F.col("below") + F.sum("rows").over(upto))
-
-    def at(position):
-        return F.min(F.when(F.col("upto") > position, F.struct(F.col("upto"), F.col("value"))))
-
-    ends_df = ranked.groupBy("column", "prob", "n", "below").agg(at(F.floor(rank)).alias("lo"), at(F.ceil(rank)).alias("hi"))
-    missed = F.col("lo.value").isNull() | F.col("hi.value").isNull() | (F.col("below") > F.floor(rank))
-    share = rank - F.floor(rank)
-    value = F.col("lo.value") + (F.col("hi.value") - F.col("lo.value")) * share
-    checked = F.when(missed, F.raise_error(F.lit("quantile sketch missed a rank")).cast("double")).otherwise(value)
-    return ends_df.select("column", "prob", checked.alias("value"))
+    ends = [min(max(p + side * m, 0.0), 1.0) for p in probs for m in MARGINS for side in (-1, 1)]
+    row = values.agg(*[
+        F.struct(
+            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"),
+            F.percentile_approx(v, ends, ACCURACY).alias("ends"),
+        ).alias(v)
+        for v in values.columns
+    ]).first()
+    found = [Summary(c, *row[f"v_{i}"][:5]) for i, c in enumerate(columns)]
+
+    def bracket(i: int, j: int, level: int) -> tuple[float, float]:
+        if level == len(MARGINS) - 1:
+            return found[i].low, found[i].high
+        at = 2 * (j * len(MARGINS) + level)
+        return tuple(row[f"v_{i}"]["ends"][at : at + 2])
+
+    # Interpolated ranks lie up to two rows beside the sketch's.
+    start = [next((k for k, m in enumerate(MARGINS) if m * s.count >= 2), len(MARGINS) - 1) for s in found]
+    open_ = {(i, j): start[i] for i, s in enumerate(found) if s.count for j in range(len(probs))}
+    while open_:
+        picked = _pick(values, {cell: bracket(*cell, level) for cell, level in open_.items()}, {
+            (i, j): (found[i].count - 1) * probs[j] for i, j in open_
+        })
+        for (i, j), level in list(open_.items()):
+            low, high = picked[i, j]
+            if low is None or high is None:
+                open_[i, j] = level + 1
+                continue
+            rank = (found[i].count - 1) * probs[j]
+            found[i].quantiles[probs[j]] = low + (high - low) * (rank - floor(rank)) if high != low else low
+            del open_[i, j]
+    return found
+
+
+def _pick(
+    values: DataFrame, brackets: dict[tuple[int, int], tuple[float, float]], ranks: dict[tuple[int, int], float]
+) -> dict[tuple[int, int], tuple[float | None, float | None]]:
+    """The values at the ranks around each wanted one, None where no bracket holds them."""
+    parts = []
+    for i in sorted({i for i, _ in brackets}):
+        merged: list[list[float]] = []
+        for low, high in sorted(b for (c, _), b in brackets.items() if c == i):
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(high, merged[-1][1])
+            else:
+                merged.append([low, high])
+        v = F.col(f"v_{i}")
+        # Even zones lie between the brackets, odd ones are brackets.
+        zone = sum(((v >= low).cast("int") + (v > high).cast("int") for low, high in merged), F.lit(0))
+        parts.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("c"), zone.alias("zone"), F.when(zone % 2 == 1, v).alias("value"))))
+    counted = values.select(F.inline(F.array_compact(F.array(*parts)))).groupBy("c", "zone", "value").agg(F.count("*").alias("n"))
+    placed = with_running_total(counted, [F.col("zone").asc(), F.col("value").asc()], "upto", ["c"], F.col("n"))
+    # One row per column and wanted rank.
+    wanted = values.sparkSession.createDataFrame([(i, j, floor(r), ceil(r)) for (i, j), r in ranks.items()], "c int, j int, below long, above long")
+
+    def at(position: str):
+        return F.min(F.when(F.col("upto") > F.col(position), F.struct("upto", "value")))["value"]
+
+    chosen = placed.join(F.broadcast(wanted), "c").groupBy("c", "j").agg(at("below").alias("low"), at("above").alias("high"))
+    return {(r["c"], r["j"]): (r["low"], r["high"]) for r in chosen.collect()}
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Rows ``(column, prob, value)``, linearly interpolated, nulls ignored; none for a column without values."""
+    rows = [(s.column, p, v) for s in summarise(df, columns, list(probs)) for p, v in s.quantiles.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")

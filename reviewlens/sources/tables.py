@@ -17,12 +17,12 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, *, multiline: bool
 ) -> DataFrame:
     """CSV with a header. Without a schema every column is text; no inference pass is made.
 
-    Reviews hold line breaks inside quotes, hence ``multiline``; files without them should be read
-    with ``multiline=False``, which lets Spark split large files.
+    ``multiline`` says whether texts may hold line breaks inside quotes. Such a file is one task,
+    whatever its size: deliver many files, or store the table as Parquet after the first read.
     """
     reader = (
         spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
@@ -42,10 +42,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_clean(
     spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None,
-    date_columns: Sequence[str] = (),
+    date_columns: Sequence[str] = (), multiline: bool = True,
 ) -> DataFrame:
-    """A cleaned table; dates kept as text are read again, null where they do not parse."""
-    df = spark.read.parquet(path) if fmt == "parquet" else read_raw_csv(spark, path, schema)
+    """A cleaned table (``multiline`` is for CSV); dates kept as text are read again, null where they do not parse."""
+    df = spark.read.parquet(path) if fmt == "parquet" else read_raw_csv(spark, path, schema, multiline=multiline)
     return df.withColumns({c: lenient_date(F.col(c)) for c in date_columns}) if date_columns else df
 
 

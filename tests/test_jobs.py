@@ -118,7 +118,7 @@ def test_report(cleaned):
 def test_files(spark, cleaned, reviews_raw, tmp_path):
     entities, reviews = cleaned
     tables.write_csv(reviews_raw, str(tmp_path / "raw"))
-    again = tables.read_raw_csv(spark, str(tmp_path / "raw"))
+    again = tables.read_raw_csv(spark, str(tmp_path / "raw"), multiline=True)
     assert sorted(map(str, again.collect())) == sorted(map(str, reviews_raw.collect()))
     tables.write_parquet(reviews, str(tmp_path / "p"), ["Nationality"])
     assert tables.read_clean(spark, str(tmp_path / "p")).count() == 3
