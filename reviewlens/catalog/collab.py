@@ -132,10 +132,14 @@ def hybrid_score_mean_model(spark, folder):
 
 
 def _ratings(spark, folder):
-    """Ratings with integer ids, written once as the fit reads them in every iteration."""
-    rows = collab.with_index(reviews(spark, folder), "user", "user_id").withColumnRenamed("item", "item_id")
-    kept = collab.clean_ratings(rows, "user_id", "item_id", "score")
-    return materialise(kept.select("user", "user_id", F.col("item_id").cast("int"), "name", "score", "ordr", "nights"))
+    """Ratings with dense ids of users and items, written once as the fit reads them in every iteration."""
+    rows = collab.with_index(collab.with_index(reviews(spark, folder), "user", "user_id"), "item", "item_id")
+    kept = collab.clean_ratings(rows, "user_id", "item_id", "score").withColumn("whole", F.col("score").cast("int"))
+    return materialise(kept.select("user", "user_id", "item", "item_id", "name", "score", "ordr", "nights", "whole"))
+
+
+def _split_ratings(spark, folder):
+    return collab.hash_split(_ratings(spark, folder), ["ordr", "item", "nights", "whole"])
 
 
 def _fit(train):
@@ -144,14 +148,14 @@ def _fit(train):
 
 @ENTRIES.add()
 def als_predict(spark, folder):
-    train, test = collab.hash_split(_ratings(spark, folder), ["ordr", "item_id", "nights"])
+    train, test = _split_ratings(spark, folder)
     predictions = collab.predict(_fit(train), test)
     return predictions.select("user_id", "item_id", "score", "prediction")
 
 
 @ENTRIES.add()
 def als_rmse(spark, folder):
-    train, test = collab.hash_split(_ratings(spark, folder), ["ordr", "item_id", "nights"])
+    train, test = _split_ratings(spark, folder)
     return stats.rmse(collab.predict(_fit(train), test), "score", "prediction")
 
 
@@ -164,7 +168,7 @@ def als_recommend_user(spark, folder):
 @ENTRIES.add()
 def als_recommend_all(spark, folder):
     ratings = _ratings(spark, folder)
-    names = table(spark, folder, "part").select(F.col("p_partkey").cast("int").alias("item_id"), "p_name")
+    names = ratings.select("item_id", F.col("name").alias("p_name")).distinct()
     return collab.recommend_for_users(_fit(ratings), 10, items=names)
 
 
@@ -177,9 +181,10 @@ def als_model_roundtrip(spark, folder):
 
 @ENTRIES.add()
 def hybrid_score(spark, folder):
-    train, test = collab.hash_split(_ratings(spark, folder), ["ordr", "item_id", "nights"])
+    train, test = _split_ratings(spark, folder)
     predictions = materialise(collab.predict(_fit(train), test).groupBy("user_id", "item_id").agg(F.first("prediction").alias("prediction")))
-    weights = _item_weights(spark, folder).select(F.col("item").cast("int").alias("item_id"), "term", "weight")
+    ids = train.unionByName(test).select("item", "item_id").distinct()
+    weights = _item_weights(spark, folder).join(ids, "item").select("item_id", "term", "weight")
     profiles = hybrid.user_profiles(train, weights, "user_id", "item_id", "score")
     contents = hybrid.content_scores(predictions, profiles, weights, "user_id", "item_id")
     return hybrid.hybrid_scores(predictions, contents, "user_id", "item_id")
@@ -187,9 +192,9 @@ def hybrid_score(spark, folder):
 
 @ENTRIES.add()
 def hybrid_vectors(spark, folder):
-    train, test = collab.hash_split(_ratings(spark, folder), ["ordr", "item_id", "nights"])
-    vectors = hybrid.item_text_vectors(_item_texts(spark, folder).withColumnRenamed("item", "item_id"), "item_id", "text")
-    return hybrid.hybrid_join(collab.predict(_fit(train), test), vectors, "item_id").select("user_id", "item_id", "score", "prediction", "tfidf_features")
+    train, test = _split_ratings(spark, folder)
+    vectors = hybrid.item_text_vectors(_item_texts(spark, folder), "item", "text")
+    return hybrid.hybrid_join(collab.predict(_fit(train), test), vectors, "item").select("user_id", "item_id", "score", "prediction", "tfidf_features")
 
 
 @ENTRIES.add()
@@ -197,3 +202,79 @@ def mllib_text_features(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
     _, made = features.hashed_text_features(documents, "text")
     return made.select("doc_id", "tfidf_features")
+
+
+# What SQL can say about the factor model: which rows it scores, and whether its numbers fit together.
+def _dot(model, rows):
+    """``rows`` with the product of the stored factors of their user and item."""
+    user = model.userFactors.select(F.col("id").alias("user_id"), F.col("features").alias("u"))
+    item = model.itemFactors.select(F.col("id").alias("item_id"), F.col("features").alias("v"))
+    product = F.aggregate(F.zip_with("u", "v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(user, "user_id").join(item, "item_id").withColumn("dot", product)
+
+
+_TRAIN_SQL = f"{REVIEWS_SQL}, s AS (SELECT *, {_MARK_SQL} AS train FROM reviews)"
+
+
+@ENTRIES.add(f"""
+WITH {_TRAIN_SQL} SELECT user, count(*) AS scored, true AS product FROM s
+WHERE NOT train AND item IN (SELECT item FROM s WHERE train) AND user IN (SELECT user FROM s WHERE train) GROUP BY user
+""")
+def als_predict_facts(spark, folder):
+    """Per user: held-out rows with a score, and whether each is the product of the stored factors."""
+    train, test = _split_ratings(spark, folder)
+    model = _fit(train)
+    found = _dot(model, collab.predict(model, test)).withColumn("near", F.abs(F.col("dot") - F.col("prediction")) < 1e-3)
+    return found.groupBy("user").agg(F.count("*").alias("scored"), F.bool_and("near").alias("product"))
+
+
+@ENTRIES.add(f"WITH {REVIEWS_SQL} SELECT user, 10 AS rows, true AS best FROM reviews GROUP BY user")
+def als_recommend_facts(spark, folder):
+    """Per user: how many items are recommended, and whether no other item that the user rated has a higher score."""
+    ratings = _ratings(spark, folder)
+    model = _fit(ratings)
+    top = collab.recommend_for_users(model, 10).select("user_id", "item_id", F.col("rank").alias("place"))
+    names = ratings.select("user_id", "user").distinct()
+    pairs = ratings.select("user_id", "item_id").union(top.select("user_id", "item_id")).distinct().join(names, "user_id")
+    scored = _dot(model, pairs).join(top, ["user_id", "item_id"], "left")
+    listed = F.col("place").isNotNull()
+    return scored.groupBy("user").agg(
+        F.count_if(listed).cast("int").alias("rows"),
+        F.coalesce(F.min(F.when(listed, F.col("dot"))) >= F.max(F.when(~listed, F.col("dot"))) - 1e-3, F.lit(True)).alias("best"))
+
+
+@ENTRIES.add(f"WITH {REVIEWS_SQL} SELECT count(DISTINCT item) AS items, 20 AS rank, true AS same FROM reviews")
+def als_model_facts(spark, folder):
+    """The stored model: its items, the length of its factors, and whether it reads back as written."""
+    path = shared_folder(spark)
+    model = _fit(_ratings(spark, folder))
+    collab.save_model(model, path)
+    read = collab.load_model(path).itemFactors.select("id", F.col("features").alias("again"))
+    both = model.itemFactors.join(read, "id", "full")
+    same = F.coalesce(F.col("features") == F.col("again"), F.lit(False))
+    return both.agg(F.count("*").alias("items"), F.max(F.size("again")).alias("rank"), F.bool_and(same).alias("same"))
+
+
+@ENTRIES.add("SELECT true AS formula, true AS below_item_means")
+def als_rmse_facts(spark, folder):
+    """Whether the error is that of the formula, and on training rows below that of the items' means."""
+    train, _ = _split_ratings(spark, folder)
+    scored = materialise(collab.predict(_fit(train), train).select("item", "score", F.col("prediction").cast("double").alias("prediction")))
+    error = collab.evaluate_rmse(scored, "score")
+    gap = F.col("score") - F.col("prediction")
+    means = scored.groupBy("item").agg(F.avg("score").alias("mean"))
+    off = F.col("score") - F.col("mean")
+    return scored.join(means, "item").agg(
+        (F.abs(F.sqrt(F.avg(gap * gap)) - error) < 1e-6).alias("formula"), (F.avg(gap * gap) < F.avg(off * off)).alias("below_item_means"))
+
+
+@ENTRIES.add(f"WITH {REVIEWS_SQL} SELECT count(*) AS rows, true AS complete, true AS disjoint, true AS about_four_fifths FROM reviews")
+def random_split_facts(spark, folder):
+    """The random split: together all rows, no row twice, and the wanted share."""
+    rows = materialise(reviews(spark, folder).select(*KEY).withColumn("row", F.monotonically_increasing_id()))
+    train, test = collab.random_split(rows)
+    marked = train.select("row", F.lit(1).alias("t")).unionByName(test.select("row", F.lit(0).alias("t")))
+    per_row = rows.select("row").join(marked.groupBy("row").agg(F.count("*").alias("n"), F.max("t").alias("t")), "row", "left")
+    return per_row.agg(
+        F.count("*").alias("rows"), F.bool_and(F.col("n").isNotNull()).alias("complete"), F.bool_and(F.coalesce("n", F.lit(1)) == 1).alias("disjoint"),
+        (F.abs(F.avg("t") - 0.8) < 0.03).alias("about_four_fifths"))

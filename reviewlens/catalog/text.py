@@ -8,6 +8,9 @@ from reviewlens.catalog.base import Registry, quoted, rounded, table, texts
 from reviewlens.functions import text as ft
 from reviewlens.operators import features, text
 from reviewlens.operators.joins import without_listed
+from reviewlens.session import shared_folder
+from reviewlens.sources import words
+from reviewlens.sources.tables import local_table
 
 ENTRIES = Registry()
 
@@ -155,5 +158,25 @@ WHERE token NOT IN ({quoted(STOP_WORDS)}) GROUP BY token
 """)
 def anti_membership(spark, folder):
     tokens = texts(spark, folder, "text").select(F.explode(ft.split_words(F.lower("text"))).alias("token"))
-    words = spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
+    words = local_table(spark, [(w,) for w in STOP_WORDS], "word string")
     return without_listed(tokens, "token", words).groupBy("token").agg(F.count("*").alias("n"))
+
+
+# Word files as the table of parts gives them: the first line of a name counts, its last brand stands.
+@ENTRIES.add("""
+WITH o AS (SELECT p_name, p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS ord FROM part)
+SELECT min(ord) AS ord, p_name AS key, arg_max(p_brand, ord) AS value FROM o GROUP BY p_name
+""")
+def dictionary_file(spark, folder):
+    lines = table(spark, folder, "part").orderBy("p_partkey").select(F.concat_ws("\t", "p_name", "p_brand").alias("value"))
+    path = shared_folder(spark)
+    lines.coalesce(1).write.text(path)  # a dictionary is one file
+    return words.read_dictionary(spark, path)
+
+
+@ENTRIES.add("SELECT DISTINCT trim(p_type) AS word FROM part WHERE trim(p_type) <> ''")
+def word_file(spark, folder):
+    lines = table(spark, folder, "part").select(F.explode(F.array(F.concat(F.lit(" "), "p_type", F.lit("\t")), F.lit(""), F.lit("  "))))
+    path = shared_folder(spark)
+    lines.write.text(path)
+    return words.read_words(spark, path)
