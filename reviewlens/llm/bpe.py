@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from reviewlens.llm import arrays
 
 NONE = np.iinfo(np.int64).max
-MOST_WORDS = 300_000
-SLICE_BYTES = 4 << 20
+MOST_WORDS = 200_000
+SLICE_BYTES = 2 << 20
 
 
 def load_ranks(path: str) -> bytes:
