@@ -56,49 +56,66 @@ def documents_per_entity(
     keys = [entity] if variant is None else [entity, variant]
     if dedup:
         marks = content_marks(reviews, rows, entity=entity, body=body, texts=text_attributes, order_by=order_by)
-        rows = keep_first(marks, ["__mark_a", "__mark_b", "__pieces"], keys).drop("__mark_a", "__mark_b", "__pieces")
+        rows = keep_first(marks, [*_MARKS, "__pieces"], keys).drop(*_MARKS, "__pieces")
     return with_position(rows, [F.col(c).asc_nulls_first() for c in keys], "doc")
 
 
-def _marks(start: Column, pieces: Column, seed: int) -> Column:
-    hashed = F.transform(pieces, lambda piece, i: F.xxhash64(F.lit(seed), start + i, piece))
-    return F.aggregate(hashed, F.lit(0).cast("long"), lambda mark, h: mark.bitwiseXOR(h))
+# Primes and bases of the fingerprints; products of two residues fit into 64 bits.
+_MODULI = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_029), (2_147_483_587, 1_812_433_253), (2_147_483_579, 1_566_083_941))
+_MARKS = [f"__mark_{i}" for i in range(len(_MODULI))]
+
+
+def _fingerprints(pieces: Column) -> Column:
+    """Per modulus the value of the polynomial with the pieces' hashes as coefficients, the first one constant."""
+
+    def value(hashes: Column, p: int, base: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda done, h: (done * base + F.pmod(h, F.lit(p))) % p)
+
+    def values(hashes: Column) -> Column:
+        return F.array(*[value(hashes, p, base) for p, base in _MODULI])
+
+    # Bound as a lambda variable, so that the pieces are hashed once and not once per modulus.
+    return F.element_at(F.transform(F.array(F.transform(F.reverse(pieces), lambda piece: F.xxhash64(piece))), values), 1)
+
+
+def _shifted(value: Column, places: Column, i: int) -> Column:
+    """A fingerprint ``places`` pieces further on: times the base to that power, by its binary digits."""
+    p, base = _MODULI[i]
+    powers = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(pow(base, 2**k, p)).cast("long").alias("b")) for k in range(48)])
+    return F.aggregate(powers, value, lambda done, e: F.when(F.getbit(places, e["k"]) == 1, done * e["b"] % p).otherwise(done))
 
 
 def content_marks(
     reviews: DataFrame, rows: DataFrame, *, entity: str, body: str, texts: Sequence[str], order_by: Sequence[str]
 ) -> DataFrame:
-    """Add a 128-bit fingerprint of each document's content to ``rows``.
+    """Add a 124-bit fingerprint of each document's content to ``rows``.
 
-    Contents are equal exactly if their space-separated pieces agree at every position, so each
-    piece is hashed with its position and the hashes are combined by XOR: reviews of one entity can
-    be hashed in any number of tasks and nothing is concatenated.
+    Contents are equal if their space-separated pieces agree at every position. A body's fingerprint is taken in
+    its row, as a polynomial over its pieces; moving it by the pieces ahead of it is a product, and a document's is
+    the sum of its bodies'. Only numbers are shuffled, no text.
     """
-    pieces = F.split(F.col("__body"), " ", -1)
-    # The number of pieces is a stored column: inside the hashing it would be counted once per piece.
+    # The number of pieces is a stored column: the running total needs it, and the text stays behind.
     bodies = reviews.filter(F.col(entity).isNotNull() & F.col(body).isNotNull()).select(
-        entity, F.col(body).alias("__body"), F.size(F.split(F.col(body), " ", -1)).alias("__size"),
+        entity, F.size(F.split(F.col(body), " ", -1)).cast("long").alias("__size"), _fingerprints(F.split(F.col(body), " ", -1)).alias("__prints"),
         *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_by)],
     )
     order = [F.col(f"__o{i}").asc() for i in range(len(order_by))]
-    placed = with_running_total(bodies, order, "__end", [entity], F.col("__size").cast("long"))
+    placed = with_running_total(bodies, order, "__end", [entity], F.col("__size"))
     start = F.col("__end") - F.col("__size")
     per_entity = placed.groupBy(entity).agg(
-        F.bit_xor(_marks(start, pieces, 1)).alias("__body_a"),
-        F.bit_xor(_marks(start, pieces, 2)).alias("__body_b"),
+        *[(F.sum(_shifted(F.col("__prints")[i], start, i)) % p).alias(f"__body_{i}") for i, (p, _) in enumerate(_MODULI)],
         F.max("__end").alias("__body_pieces"),
     )
     joined = join_lookup(rows, per_entity, [entity], "left", derived=True)
-    has_body = F.col("__body_pieces").isNotNull()
     # An entity without any body contributes one empty piece, as joining an empty text would.
-    first = F.coalesce(F.col("__body_pieces"), F.lit(1))
+    first = F.coalesce(F.col("__body_pieces"), F.lit(1).cast("long"))
     rest = F.split(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts]), " ", -1)
-    empty = F.array(F.lit(""))
-    out = joined
-    for name, seed in (("a", 1), ("b", 2)):
-        head = F.when(has_body, F.col(f"__body_{name}")).otherwise(_marks(F.lit(0).cast("long"), empty, seed))
-        out = out.withColumn(f"__mark_{name}", head.bitwiseXOR(_marks(first, rest, seed)))
-    return out.withColumn("__pieces", first + F.size(rest)).drop("__body_a", "__body_b", "__body_pieces")
+    nothing = _fingerprints(F.array(F.lit("")))
+    out = joined.withColumn("__rest", _fingerprints(rest)).withColumn("__pieces", first + F.size(rest))
+    for i, (p, _) in enumerate(_MODULI):
+        head = F.coalesce(F.col(f"__body_{i}"), nothing[i])
+        out = out.withColumn(_MARKS[i], (head + _shifted(F.col("__rest")[i], first, i)) % p)
+    return out.drop("__rest", "__body_pieces", *[f"__body_{i}" for i in range(len(_MODULI))])
 
 
 def entity_term_counts(
