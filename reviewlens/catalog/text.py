@@ -134,6 +134,21 @@ def concat_by_group(spark, folder):
     return text.concat_by_group(documents, "source", "text", ["doc_id"], part_rows=20)
 
 
+@ENTRIES.add("""
+WITH n AS (SELECT source, doc_id, text, sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) - strlen(text) - 1 AS place FROM documents)
+SELECT source, CAST(place // 30000 AS INTEGER) AS part, string_agg(text, ' ' ORDER BY doc_id) AS text FROM n GROUP BY source, place // 30000
+""")
+def concat_by_bytes(spark, folder):
+    documents = table(spark, folder, "documents").select("source", "doc_id", "text")
+    return text.concat_by_group(documents, "source", "text", ["doc_id"], part_bytes=30_000)
+
+
+@ENTRIES.add("SELECT source, 0 AS part, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY source")
+def concat_whole_groups(spark, folder):
+    documents = table(spark, folder, "documents").select("source", "doc_id", "text")
+    return text.concat_by_group(documents, "source", "text", ["doc_id"])
+
+
 def word_counts_sql(where: str, n: int) -> str:
     """SQL of the word-cloud counts over the documents that meet a condition."""
     return rf"""

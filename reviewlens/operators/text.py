@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.text import Tokeniser, cloud_words, has_letter, language_vote, split_words
-from reviewlens.operators.joins import without_listed
-from reviewlens.plans.positions import with_position
+from reviewlens.plans.positions import with_position, with_running_total
+from reviewlens.plans.sizing import small_side
+
+# Bytes of one part of a group's text; a row may hold 2 GB.
+PART_BYTES = 64 * 1024 * 1024
 
 
 def flag_languages(
@@ -38,19 +41,27 @@ def keep_with_letters(df: DataFrame, text: str) -> DataFrame:
 
 
 def concat_by_group(
-    df: DataFrame, group: str, text: str, order_by: Sequence[str], part_rows: int = 10_000, sep: str = " "
+    df: DataFrame, group: str, text: str, order_by: Sequence[str], part_rows: int | None = None, sep: str = " ",
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Texts of each group joined in order, as rows ``(group, part, text)``.
 
-    ``part`` numbers consecutive pieces of at most ``part_rows`` texts; joining them in order gives
-    the whole, and a group of up to ``part_rows`` texts is one piece. A group that holds a large
-    share of the table therefore never has to fit into one row or one task. Null texts are skipped.
+    Joining the parts in order gives the whole. A part takes the texts that begin within the same ``part_bytes``
+    of the group's whole text, so it has at most those bytes and one text more, and a smaller group is one
+    part; with ``part_rows`` it takes that many texts instead. A group that holds a large share of the table
+    therefore never has to fit into one row or one task. Null texts are skipped.
     """
     kept = df.filter(F.col(group).isNotNull() & F.col(text).isNotNull()).select(
         group, F.col(text).alias("__text"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_by)]
     )
-    placed = with_position(kept, [F.col(f"__o{i}").asc() for i in range(len(order_by))], "__pos", [group])
-    pieces = placed.withColumn("part", F.floor(F.col("__pos") / part_rows).cast("int"))
+    order = [F.col(f"__o{i}").asc() for i in range(len(order_by))]
+    if part_rows:
+        placed = with_position(kept, order, "__pos", [group])
+        pieces = placed.withColumn("part", F.floor(F.col("__pos") / part_rows).cast("int"))
+    else:
+        size = (F.octet_length("__text") + len(sep.encode())).cast("long")
+        placed = with_running_total(kept, order, "__pos", [group], size)
+        pieces = placed.withColumn("part", F.floor((F.col("__pos") - size) / part_bytes).cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("__pos", "__text")))
     joined = F.array_join(F.transform(ordered, lambda x: x["__text"]), sep)
     return pieces.groupBy(group, "part").agg(joined.alias(text))
@@ -89,10 +100,11 @@ def remove_listed_words(
     For lists that fit a driver constant use :func:`reviewlens.functions.text.drop_words`, which
     needs no shuffle.
     """
-    tokens = df.select(*key, F.posexplode(split_words(F.col(text))).alias("__pos", "__word"))
-    kept = without_listed(tokens, "__word", words, word_col)
-    # A group is the words of one text.
-    ordered = F.array_sort(F.collect_list(F.struct("__pos", "__word")))
-    rebuilt = kept.groupBy(*key).agg(F.array_join(F.transform(ordered, lambda x: x["__word"]), " ").alias("__clean"))
-    joined = df.join(rebuilt, list(key), "left")
-    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("__clean", F.lit("")))).drop("__clean")
+    lower = F.transform(split_words(F.col(text)), F.lower)
+    tokens = df.select(*key, F.explode(F.array_distinct(lower)).alias("__word"))
+    listed = small_side(words.select(F.col(word_col).alias("__word")).distinct())
+    # Of the words only listed ones are gathered, each once per text.
+    banned = tokens.join(listed, "__word").groupBy(*key).agg(F.collect_set("__word").alias("__banned"))
+    joined = df.join(banned, list(key), "left")
+    kept = F.filter(split_words(F.col(text)), lambda w: ~F.coalesce(F.array_contains("__banned", F.lower(w)), F.lit(False)))
+    return joined.withColumn(text, F.array_join(kept, " ")).drop("__banned")

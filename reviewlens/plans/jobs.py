@@ -43,14 +43,15 @@ def clean_reviews(
     named = normalise_headers(raw)
     scored = named.withColumn("Score", clean_number(F.col("Score"), strict=strict))
     present = drop_null_rows(scored, ["Reviewer_Name", "Body"])
-    joined = enrich(present, entities, hotel.ID, [hotel.NAME])
+    # Ahead of the name join: the means' own pass over the input reads three columns and joins nothing.
+    averaged = mean_on_rows(present, hotel.ID, "Score", "Mean_Reviewer_Score")
+    joined = enrich(averaged, entities, hotel.ID, [hotel.NAME])
     dated = joined.withColumns({
         "Days": extract_int(F.col("Stay_Details"), NIGHTS_PATTERN, strict),
         "Month_Stay": extract_int(F.col("Stay_Details"), MONTH_PATTERN, strict),
         "Review_Date": local_date(F.col("Review_Date"), strict=strict),
     })
-    averaged = mean_on_rows(dated, hotel.ID, "Score", "Mean_Reviewer_Score")
-    known = drop_null_rows(averaged, [hotel.NAME])
+    known = drop_null_rows(dated, [hotel.NAME])
     key = synthetic_key(
         (F.col(hotel.ID), "nan"), (F.col("Reviewer_Name"), "nan"), (F.col("Nationality"), "nan"), (F.col("Review_Date"), "NaT")
     )
