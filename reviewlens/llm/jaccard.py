@@ -9,11 +9,11 @@ join is exact and never lists the pairs of a group:
    passages out of the prefixes.
 3. An inverted index over the prefixes. Lists with the same members are one list.
 4. A list's members are compared to one leader. Linked sets need no comparison among each other: their
-   answers follow from the leader's. This repeats with other leaders for lists that still span components.
+   answers follow from the leader's. Another leader follows for what is still apart.
 5. What is left of a list is compared in blocks, skipping what provably cannot link: sets of the same
-   component, of sizes too far apart, or whose parity sketches differ in more bits than the largest
-   symmetric difference of linked sets. For each set and each foreign component the closest candidates come
-   first; the number doubles until none is left, so no candidate is lost.
+   component, of sizes too far apart, or whose sketches differ by more than the largest symmetric
+   difference of linked sets. Before shingles are compared, parities in as many classes as shingles are. For each set and each foreign component the closest candidates come
+   first; where some had to wait, another turn follows with the new components, so no candidate is lost.
 
 Cases: null or empty texts and texts without words have no shingles and link with nothing. Shorter texts than
 ``k`` words are one shingle. Repeated ids are separate documents. A null id counts as the largest. Other columns
@@ -36,9 +36,10 @@ from reviewlens.plans.sizing import materialise, small_side
 U = np.uint64
 BUCKET_BITS = 18
 HASH_BITS, LEVEL_BITS = 50, 4  # with 10 bits for the text's place in its slice: one sortable word
-SKETCH_WORDS = 8
+SKETCH = [f"s{i}" for i in range(8)]
 BLOCK = 512
-LEADERS = 3
+LEADERS = 2
+CLOSEST = 64
 
 
 def _hashes(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def bucket_levels(docs: DataFrame, k: int) -> np.ndarray:
     counts = materialise(docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS)
     noise = 8 * mean**0.5 + 64
-    levels = np.zeros(1 << BUCKET_BITS, np.uint64)
+    levels = np.zeros(1 << BUCKET_BITS, np.uint8)
     for bucket, n in counts.where(F.col("n") > mean + noise).collect():
         levels[bucket] = min(15, int((n - mean) / noise).bit_length())
     return levels
@@ -75,10 +76,10 @@ def bucket_levels(docs: DataFrame, k: int) -> np.ndarray:
 def _sets(part: pa.RecordBatch, k: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles in the global order, text by text, and how many come before each text."""
     value, owner = _hashes(part, k)
-    level = levels[(value >> U(HASH_BITS - BUCKET_BITS)).astype(np.int64)]
+    level = levels[(value >> U(HASH_BITS - BUCKET_BITS)).astype(np.int64)].astype(U)
     keys = np.sort(owner.astype(U) << U(HASH_BITS + LEVEL_BITS) | level << U(HASH_BITS) | value)
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    firsts = np.searchsorted(keys, np.arange(part.num_rows + 1).astype(U) << U(HASH_BITS + LEVEL_BITS))
+    firsts = np.append(np.searchsorted(keys, np.arange(part.num_rows).astype(U) << U(HASH_BITS + LEVEL_BITS)), len(keys))
     return keys & U((1 << HASH_BITS + LEVEL_BITS) - 1), firsts
 
 
@@ -93,7 +94,11 @@ def _nodes(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def _heads(k: int, percent: int, levels: np.ndarray):
-    """Per document: id, size of its set, the set's hash, and its prefix in the global order."""
+    """Per document: id, size of its set, the set's hash, its prefix in the global order, and its sketch.
+
+    The sketch counts the set's shingles in 64 classes, up to 255. Each shingle that only one of two sets has
+    changes one count by one, so the sum of the counts' differences is at most the symmetric difference.
+    """
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,128 +109,215 @@ def _heads(k: int, percent: int, levels: np.ndarray):
                 length[100 * n < percent * (n + 1)] = 0  # only an equal set can link
                 ends = np.cumsum(length)
                 picked = tokens[np.arange(length.sum()) + np.repeat(firsts[:-1] - ends + length, length)]
+                spots = (arrays.mix(tokens) >> U(58)).astype(np.int64) + np.repeat(np.arange(len(n)) * 64, n)
+                counts = np.minimum(np.bincount(spots, minlength=64 * len(n)), 255).astype(np.uint8)
+                sketch = counts.reshape(-1, 64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part["id"], pa.array(n), pa.array(_nodes(tokens, firsts)), _lists(picked, length)],
-                    ["id", "n", "node", "prefix"],
+                    [part["id"], pa.array(n), pa.array(_nodes(tokens, firsts)), _lists(picked, length), *map(pa.array, np.ascontiguousarray(sketch.T))],
+                    ["id", "n", "node", "prefix", *SKETCH],
                 )
 
     return heads
 
 
 def _contents(k: int, levels: np.ndarray):
-    """Per document: hash, size and shingles of its set, and the parities of its shingles in 512 classes."""
+    """Per document: hash, size and shingles of its set."""
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrays.slices(batch, "text"):
                 tokens, firsts = _sets(part, k, levels)
                 n = np.diff(firsts)
-                spots = (arrays.mix(tokens) >> U(55)).astype(np.int64) + np.repeat(np.arange(len(n)) * 512, n)
-                bits = np.bincount(spots, minlength=512 * len(n)).astype(np.uint8) & 1
-                sketch = np.packbits(bits.reshape(len(n), 512), axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_nodes(tokens, firsts)), pa.array(n), _lists(tokens, n), pa.array([s.tobytes() for s in sketch], pa.binary())],
-                    ["node", "n", "tokens", "sketch"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(tokens, firsts)), pa.array(n), _lists(tokens, n)], ["node", "n", "content"])
 
     return contents
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with ``linked``: whether their sets are similar enough."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return joined.withColumn("i", shared).select("a", "b", (100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).alias("linked"))
+def _parities(k: int, levels: np.ndarray):
+    """Per document: hash, size, and parities in a number of classes (a power of two) that is at least twice the size."""
+
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in arrays.slices(batch, "text"):
+                tokens, firsts = _sets(part, k, levels)
+                n = np.diff(firsts)
+                wide = 1 << np.ceil(np.log2(np.maximum(2 * n, 512))).astype(np.int64)
+                begin = np.cumsum(wide) - wide
+                spots = (arrays.mix(tokens) & np.repeat(wide - 1, n).astype(U)).astype(np.int64) + np.repeat(begin, n)
+                bits = (np.bincount(spots, minlength=int(wide.sum())) & 1).astype(np.uint8)
+                words = np.packbits(bits).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(tokens, firsts)), pa.array(n), _lists(words, wide // 64)], ["node", "n", "content"])
+
+    return parities
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sums of the counts' differences, row by row."""
+    return np.abs(a.astype(np.int16) - b).sum(1, dtype=np.int64)
+
+
+def _may_link(percent: int):
+    """Pairs ``a, b`` whose sketches do not rule out that they link, from rows with both sides."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, other = (np.stack([batch[f"{p}{c}"].to_numpy() for c in SKETCH], 1).view(np.uint8) for p in ("", "l"))
+            a, b = batch["node"].to_numpy(), batch["lead"].to_numpy()
+            near = (100 + percent) * _apart(mine, other) <= (100 - percent) * (batch["n"].to_numpy() + batch["m"].to_numpy())
+            both = np.unique(np.sort(np.stack([a[near], b[near]]), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    return keep
 
 
 def _close(percent: int, most: int):
-    """Candidates of two blocks of a list: per set and foreign component at most ``most``, closest first."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())])
-
-    def close(group: pa.Table) -> pa.Table:
-        get = lambda c: group[c].to_numpy()
-        n, node, label, side = get("n"), get("node"), get("label"), get("side")
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), U).reshape(len(n), SKETCH_WORDS)
-        rows, cols = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)  # side 0: both blocks are the same one
-        out, cut = [], []
-        for r in rows:
-            ok = cols[(label[cols] != label[r]) & (100 * np.minimum(n[cols], n[r]) >= percent * np.maximum(n[cols], n[r]))]
-            apart = np.bitwise_count(sketch[ok] ^ sketch[r]).sum(1)
-            near = (100 + percent) * apart.astype(np.int64) <= (100 - percent) * (n[ok] + n[r])
-            ok, apart = ok[near], apart[near]
-            order = np.lexsort((apart, label[ok]))
-            ok = ok[order]
-            first = np.searchsorted(label[ok], label[ok])
-            keep = np.arange(len(ok)) - first < most
-            if len(ok):
-                out.append(np.stack([np.minimum(node[r], node[ok[keep]]), np.maximum(node[r], node[ok[keep]])]))
-                cut.append(np.full(keep.sum(), not keep.all()))
-        both = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return pa.table([both[0], both[1], np.concatenate(cut) if cut else np.zeros(0, bool)], schema=schema)
+    """Candidate pairs of the lists (or pairs of their blocks) in a task, which come sorted by list and size.
+
+    Every set meets the next, then the next but one, and so on, for all lists at once; a set leaves as soon as
+    the sizes are too far apart. Per set and foreign component at most ``most`` stay, closest first; ``cut`` tells
+    whether there were more.
+    """
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        get = lambda c: t[c].to_numpy()
+        lists, p, q, n, node, label, side = map(get, ("list", "p", "q", "n", "node", "label", "side"))
+        sketch = np.stack([get(c) for c in SKETCH], 1).view(np.uint8)
+        new = np.concatenate([[True], (lists[1:] != lists[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+        group = np.cumsum(new)
+        alive, shift, found = np.arange(len(n)), 1, [np.zeros((3, 0), np.int64)]
+        while len(alive):
+            alive = alive[alive + shift < len(n)]
+            other = alive + shift
+            alive = alive[(group[alive] == group[other]) & (100 * n[alive] >= percent * n[other])]
+            other = alive + shift
+            # Side 0: the list is one block. 1 and 2: two blocks, whose inner pairs are dealt with elsewhere.
+            i = np.flatnonzero((label[alive] != label[other]) & ((side[alive] == 0) | (side[alive] != side[other])))
+            x, y = alive[i], other[i]
+            apart = _apart(sketch[x], sketch[y])
+            near = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+            found.append(np.stack([x[near], y[near], apart[near]]))
+            shift += 1
+        x, y, apart = np.concatenate(found, 1)
+        order = np.lexsort((apart, label[y], x))
+        x, y = x[order], y[order]
+        begin = np.concatenate([[True], (x[1:] != x[:-1]) | (label[y[1:]] != label[y[:-1]])]) if len(x) else np.zeros(0, bool)
+        place = np.arange(len(x)) - np.maximum.accumulate(np.where(begin, np.arange(len(x)), 0)) if len(x) else np.zeros(0, np.int64)
+        keep = place < most
+        a, b = node[x[keep]], node[y[keep]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        cut = np.full(both.shape[1], not keep.all())
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(cut)], ["a", "b", "cut"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = lambda i: tuple(batch[c][i].as_py() for c in ("list", "p", "q"))  # noqa: B023, E731
+            # The last list of a batch may go on in the next one.
+            lists, p, q = (batch[c].to_numpy() for c in ("list", "p", "q"))
+            last = len(lists) - 1
+            same = (lists == lists[last]) & (p == p[last]) & (q == q[last]) if len(lists) else np.zeros(0, bool)
+            begin = int(np.argmax(same)) if len(lists) else 0
+            if len(lists) and (begin or (held and key(0) != tuple(held[-1][c][0].as_py() for c in ("list", "p", "q")))):
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
 
     return close
 
 
-def _labelled(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The components so far, and the members of lists that still span more than one."""
-    labels = materialise(components(linked))
-    named = members.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    open_ = named.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    return labels, materialise(named.join(open_.where("low < high and size > 2").select("list", "size"), "list"))
+class _Join:
+    """The state of one join: candidate lists, pairs tested so far, and where the texts come from."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, percent: int, levels: np.ndarray):
+        self.docs, self.classes, self.members, self.k, self.percent, self.levels = docs, classes, members, k, percent, levels
+        self.tested = docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
+        self.rest, self.labels = members.withColumn("label", F.col("node")), None
+
+    def sets(self, pairs: DataFrame, make) -> DataFrame:
+        """What ``make`` tells of the sets in these pairs, from the texts: ``node, n, content``."""
+        nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.classes.select("node", "rep"), "node"))
+        wanted = nodes.select(F.col("rep").alias("id")).distinct()
+        texts = self.docs.join(small_side(wanted), self.docs["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
+        found = texts.mapInArrow(make(self.k, self.levels), "node long, n long, content array<long>")
+        found = found.join(small_side(nodes.select("node")), "node", "left_semi")
+        return materialise(found.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("content").alias("content")))
+
+    def both(self, pairs: DataFrame, make) -> DataFrame:
+        """The pairs with sizes ``na, nb`` and contents ``ta, tb``."""
+        sets = self.sets(pairs, make)
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("content").alias(f"t{c}"))
+        return pairs.join(side("b"), "b").join(side("a"), "a")
+
+    def verify(self, pairs: DataFrame) -> bool:
+        """Test the pairs not tested before, by parities and then by their sets; whether any of them links."""
+        pairs = materialise(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            return False
+        # Classes of the wider side are put together two by two where the sides differ in width.
+        half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+        fitted = lambda c, d: F.when(F.size(c) > F.size(d), half(c)).otherwise(F.col(c))
+        apart = F.aggregate(F.zip_with(fitted("ta", "tb"), fitted("tb", "ta"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        close = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("na") + F.col("nb"))
+        close = materialise(self.both(pairs, _parities).select("a", "b", close.alias("linked")))
+        shared = self.both(close.where("linked").select("a", "b"), _contents).withColumn("i", F.size(F.array_intersect("ta", "tb")))
+        linked = 100 * F.col("i") >= self.percent * (F.col("na") + F.col("nb") - F.col("i"))
+        self.tested = materialise(self.tested.union(close.where("NOT linked")).union(shared.select("a", "b", linked.alias("linked"))))
+        return not self.tested.where("linked").join(pairs, ["a", "b"], "left_semi").isEmpty()
+
+    def relabel(self) -> None:
+        """The components so far, and the members of lists that may still span more than one."""
+        self.labels = components(self.tested.where("linked").select("a", "b"))
+        known = small_side(self.labels.select(F.col("id").alias("node"), "component"))
+        named = self.members.join(known, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        long = named.where(F.col("size") > BLOCK).groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        self.rest = named.join(small_side(materialise(long.where("low = high").select("list"))), "list", "left_anti")
+
+    def stars(self, turn: int) -> DataFrame:
+        """Each list's members beside the list's leader of this turn, where they may link two components."""
+        head = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("lead"), F.col("n").alias("m"), F.col("label").alias("its"), *[F.col(c).alias(f"l{c}") for c in SKETCH])
+        leaders = self.rest.groupBy("list").agg(F.min(head).alias("l")).select("list", "l.*")
+        met = self.rest.join(leaders, "list").where(F.col("label") != F.col("its")).where(100 * F.least("n", "m") >= self.percent * F.greatest("n", "m"))
+        return met.drop("list", "size", "label", "its", "h").mapInArrow(_may_link(self.percent), "a long, b long")
+
+    def close(self, most: int) -> DataFrame:
+        """The candidate pairs of all open lists, at most ``most`` per set and foreign component."""
+        blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+        mine = self.rest.withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
+        dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
+            "list", "node", "n", "label", *SKETCH, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
+            F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+        )
+        sorted_ = dealt.repartition("list", "p", "q").sortWithinPartitions("list", "p", "q", "n", "node")
+        return materialise(sorted_.mapInArrow(_close(self.percent, most), "a long, b long, cut boolean"))
 
 
 def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     levels = bucket_levels(docs, k)
-    heads = materialise(docs.mapInArrow(_heads(k, percent, levels), "id long, n long, node long, prefix array<long>"))
+    heads = materialise(docs.mapInArrow(_heads(k, percent, levels), "id long, n long, node long, prefix array<long>" + "".join(f", {c} long" for c in SKETCH)))
     classes = materialise(
-        heads.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+        heads.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), *[F.any_value(c).alias(c) for c in SKETCH])
     )
-    postings = classes.select("node", "n", F.explode("prefix").alias("token"))
+    postings = classes.select("node", F.explode("prefix").alias("token"))
     lists = materialise(
-        postings.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-        .where("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token"))
-    )
-    members = materialise(postings.join(small_side(lists.select("token")), "token").select(F.col("token").alias("list"), "node", "n"))
-    nodes = materialise(members.select("node").distinct().join(classes.select("node", "rep"), "node"))
-    # A class's text is that of its smallest id; null ids are kept for classes that have no other.
-    wanted = nodes.select(F.col("rep").alias("id")).distinct()
-    texts = docs.join(small_side(wanted), docs["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
-    found = texts.mapInArrow(_contents(k, levels), "node long, n long, tokens array<long>, sketch binary")
-    sets = materialise(
-        found.join(small_side(nodes.select("node")), "node", "left_semi").groupBy("node")
-        .agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
+        postings.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
+        .where("c > 1").groupBy("c", "x").agg(F.min("token").alias("token"))
     )
-
-    tested = members.sparkSession.createDataFrame([], "a long, b long, linked boolean")
-    rest, labels = members.withColumn("label", F.col("node")), None
+    members = postings.join(small_side(lists.select("token", F.col("c").alias("size"))), "token").select(F.col("token").alias("list"), "size", "node")
+    members = materialise(members.join(classes.select("node", "n", *SKETCH), "node"))
+    join, most, open_ = _Join(docs, classes, members, k, percent, levels), 1, True
     for turn in range(LEADERS):
-        leader = rest.groupBy("list").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("lead"), F.col("n").alias("m"), F.col("label").alias("its"))).alias("l")).select("list", "l.*")
-        stars = rest.join(leader, "list").where(F.col("label") != F.col("its")).where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        pairs = stars.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        tested = materialise(tested.union(_verify(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent)))
-        labels, rest = _labelled(members, tested.where("linked").select("a", "b"))
-    most = 1
-    while not rest.isEmpty():
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        mine = rest.join(sets.select("node", "sketch"), "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
-        dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))).select(
-            "list", "node", "n", "label", "sketch", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
-            F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        )
-        near = materialise(dealt.groupBy("list", "p", "q").applyInArrow(_close(percent, most), "a long, b long, cut boolean"))
-        fresh = near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        checked = materialise(_verify(fresh, sets, percent))
-        if checked.isEmpty() and near.where("cut").isEmpty():
-            break
-        if not checked.where("linked").isEmpty():
-            tested = materialise(tested.union(checked))
-            labels, rest = _labelled(members, tested.where("linked").select("a", "b"))
-        else:
-            tested = materialise(tested.union(checked))
-            most *= 8
+        join.verify(join.stars(turn))
+        join.relabel()
+    while open_:
+        near = join.close(most)
+        linked, open_ = join.verify(near.select("a", "b")), not near.where("cut").isEmpty()
+        most = most if linked and most > 1 else CLOSEST * most
+        join.relabel()
+    labels = join.labels
     named = classes.select("node", "rep").join(labels.withColumnRenamed("id", "node"), "node", "left")
     named = named.withColumn("label", F.coalesce("component", "node"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
