@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import os
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from reviewlens.plans import quantiles
 from reviewlens.plans.positions import with_position, with_running_total
 from reviewlens.plans.quantiles import exact_quantiles
 from reviewlens.plans.sizing import fits_broadcast, join_lookup, materialise
+from reviewlens.session import shared_folder, temporary_tables
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +159,17 @@ def test_against_average(spark):
     table = spark.createDataFrame([("A", 2.0, 1.0), ("B", 4.0, 1.0)], "name string, x double, y double")
     rows = joins.against_average(table.filter("name = 'A'"), table, ["x", "y"], ["name"]).collect()
     assert [tuple(r) for r in rows] == [("A", "x", 2.0, 3.0), ("A", "y", 1.0, 1.0)]
+
+
+def test_temporary_tables_are_deleted(spark):
+    with temporary_tables(spark):
+        held = materialise(spark.range(3))
+        path = held.inputFiles()[0].removeprefix("file:").removeprefix("//")
+        assert os.path.exists(path) and held.count() == 3
+    assert not os.path.exists(path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default)))
