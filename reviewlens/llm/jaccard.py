@@ -13,7 +13,7 @@ join is exact and never lists the pairs of a group:
 5. What is left of a list is compared in blocks, skipping what provably cannot link: sets of the same
    component, of sizes too far apart, or whose sketches differ by more than the largest symmetric
    difference of linked sets. Before shingles are compared, parities in as many classes as shingles are. For each set and each foreign component the closest candidates come
-   first; where some had to wait, another turn follows with the new components, so no candidate is lost.
+   first; lists where some had to wait get another turn with the new components, so no candidate is lost.
 
 Cases: null or empty texts and texts without words have no shingles and link with nothing. Shorter texts than
 ``k`` words are one shingle. Repeated ids are separate documents. A null id counts as the largest. Other columns
@@ -40,6 +40,7 @@ SKETCH = [f"s{i}" for i in range(8)]
 BLOCK = 512
 LEADERS = 2
 CLOSEST = 64
+KNOWN = 1_000_000
 
 
 def _hashes(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +97,8 @@ def _nodes(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def _heads(k: int, percent: int, levels: np.ndarray):
     """Per document: id, size of its set, the set's hash, its prefix in the global order, and its sketch.
 
-    The sketch counts the set's shingles in 64 classes, up to 255. Each shingle that only one of two sets has
-    changes one count by one, so the sum of the counts' differences is at most the symmetric difference.
+    The sketch counts the set's shingles in 128 classes, modulo 16. Each shingle that only one of two sets has
+    moves one count by one, so the sum of the counts' circular differences is at most the symmetric difference.
     """
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +110,9 @@ def _heads(k: int, percent: int, levels: np.ndarray):
                 length[100 * n < percent * (n + 1)] = 0  # only an equal set can link
                 ends = np.cumsum(length)
                 picked = tokens[np.arange(length.sum()) + np.repeat(firsts[:-1] - ends + length, length)]
-                spots = (arrays.mix(tokens) >> U(58)).astype(np.int64) + np.repeat(np.arange(len(n)) * 64, n)
-                counts = np.minimum(np.bincount(spots, minlength=64 * len(n)), 255).astype(np.uint8)
-                sketch = counts.reshape(-1, 64).view(np.int64)
+                spots = (arrays.mix(tokens) >> U(57)).astype(np.int64) + np.repeat(np.arange(len(n)) * 128, n)
+                counts = (np.bincount(spots, minlength=128 * len(n)) & 15).astype(np.uint8)
+                sketch = (counts[::2] | counts[1::2] << 4).reshape(-1, 64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part["id"], pa.array(n), pa.array(_nodes(tokens, firsts)), _lists(picked, length), *map(pa.array, np.ascontiguousarray(sketch.T))],
                     ["id", "n", "node", "prefix", *SKETCH],
@@ -152,8 +153,16 @@ def _parities(k: int, levels: np.ndarray):
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sums of the counts' differences, row by row."""
-    return np.abs(a.astype(np.int16) - b).sum(1, dtype=np.int64)
+    """The sums of the counts' circular differences, row by row."""
+    total = np.zeros(len(a), np.int64)
+    for x, y in ((a & 15, b & 15), (a >> 4, b >> 4)):
+        one = (x - y) & 15
+        total += np.minimum(one, 16 - one).sum(1, dtype=np.int64)
+    return total
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return arrays.mix(a.view(U) * U(arrays.BASE) + b.view(U))
 
 
 def _may_link(percent: int):
@@ -170,12 +179,12 @@ def _may_link(percent: int):
     return keep
 
 
-def _close(percent: int, most: int):
+def _close(percent: int, most: int, known: np.ndarray):
     """Candidate pairs of the lists (or pairs of their blocks) in a task, which come sorted by list and size.
 
     Every set meets the next, then the next but one, and so on, for all lists at once; a set leaves as soon as
-    the sizes are too far apart. Per set and foreign component at most ``most`` stay, closest first; ``cut`` tells
-    whether there were more.
+    the sizes are too far apart. Pairs whose hash is ``known`` have been tested. Per set and foreign component at
+    most ``most`` others stay, closest first; lists that had more are named in rows of their own.
     """
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
@@ -198,6 +207,10 @@ def _close(percent: int, most: int):
             found.append(np.stack([x[near], y[near], apart[near]]))
             shift += 1
         x, y, apart = np.concatenate(found, 1)
+        code = _pair_hash(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
+        at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+        fresh = known[at] != code if len(known) else np.ones(len(x), bool)
+        x, y, apart = x[fresh], y[fresh], apart[fresh]
         order = np.lexsort((apart, label[y], x))
         x, y = x[order], y[order]
         begin = np.concatenate([[True], (x[1:] != x[:-1]) | (label[y[1:]] != label[y[:-1]])]) if len(x) else np.zeros(0, bool)
@@ -205,8 +218,10 @@ def _close(percent: int, most: int):
         keep = place < most
         a, b = node[x[keep]], node[y[keep]]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        cut = np.full(both.shape[1], not keep.all())
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(cut)], ["a", "b", "cut"])
+        cut = np.unique(lists[x[~keep]])
+        some, rest = pa.nulls(both.shape[1], pa.int64()), pa.nulls(len(cut), pa.int64())
+        columns = [pa.concat_arrays([pa.array(both[0]), rest]), pa.concat_arrays([pa.array(both[1]), rest]), pa.concat_arrays([some, pa.array(cut)])]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "cut"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -250,11 +265,11 @@ class _Join:
         side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("content").alias(f"t{c}"))
         return pairs.join(side("b"), "b").join(side("a"), "a")
 
-    def verify(self, pairs: DataFrame) -> bool:
-        """Test the pairs not tested before, by parities and then by their sets; whether any of them links."""
+    def verify(self, pairs: DataFrame) -> None:
+        """Test the pairs not tested before, by parities and then by their sets."""
         pairs = materialise(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            return False
+            return
         # Classes of the wider side are put together two by two where the sides differ in width.
         half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
         fitted = lambda c, d: F.when(F.size(c) > F.size(d), half(c)).otherwise(F.col(c))
@@ -264,7 +279,6 @@ class _Join:
         shared = self.both(close.where("linked").select("a", "b"), _contents).withColumn("i", F.size(F.array_intersect("ta", "tb")))
         linked = 100 * F.col("i") >= self.percent * (F.col("na") + F.col("nb") - F.col("i"))
         self.tested = materialise(self.tested.union(close.where("NOT linked")).union(shared.select("a", "b", linked.alias("linked"))))
-        return not self.tested.where("linked").join(pairs, ["a", "b"], "left_semi").isEmpty()
 
     def relabel(self) -> None:
         """The components so far, and the members of lists that may still span more than one."""
@@ -281,16 +295,26 @@ class _Join:
         met = self.rest.join(leaders, "list").where(F.col("label") != F.col("its")).where(100 * F.least("n", "m") >= self.percent * F.greatest("n", "m"))
         return met.drop("list", "size", "label", "its", "h").mapInArrow(_may_link(self.percent), "a long, b long")
 
-    def close(self, most: int) -> DataFrame:
-        """The candidate pairs of all open lists, at most ``most`` per set and foreign component."""
+    def close(self, rows: DataFrame, most: int) -> DataFrame:
+        """Test the candidate pairs of these members' lists, at most ``most`` per set and foreign component; lists with more.
+
+        Up to ``KNOWN`` pairs tested before are sent along, so that they are not found again in every list they share.
+        """
+        known = np.zeros(0, U)
+        if self.tested.count() <= KNOWN:
+            pairs = self.tested.select("a", "b").toArrow()
+            known = np.sort(_pair_hash(pairs["a"].to_numpy(), pairs["b"].to_numpy()))
         blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-        mine = self.rest.withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
+        mine = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
         dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
             "list", "node", "n", "label", *SKETCH, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
             F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
         )
         sorted_ = dealt.repartition("list", "p", "q").sortWithinPartitions("list", "p", "q", "n", "node")
-        return materialise(sorted_.mapInArrow(_close(self.percent, most), "a long, b long, cut boolean"))
+        near = materialise(sorted_.mapInArrow(_close(self.percent, most, known), "a long, b long, cut long"))
+        self.verify(near.where("cut IS NULL").select("a", "b"))
+        self.relabel()
+        return near.where("cut IS NOT NULL").select(F.col("cut").alias("list"))
 
 
 def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -308,15 +332,17 @@ def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: i
     )
     members = postings.join(small_side(lists.select("token", F.col("c").alias("size"))), "token").select(F.col("token").alias("list"), "size", "node")
     members = materialise(members.join(classes.select("node", "n", *SKETCH), "node"))
-    join, most, open_ = _Join(docs, classes, members, k, percent, levels), 1, True
+    join = _Join(docs, classes, members, k, percent, levels)
     for turn in range(LEADERS):
         join.verify(join.stars(turn))
         join.relabel()
-    while open_:
-        near = join.close(most)
-        linked, open_ = join.verify(near.select("a", "b")), not near.where("cut").isEmpty()
-        most = most if linked and most > 1 else CLOSEST * most
-        join.relabel()
+    # First an eighth of the lists: most candidate pairs share several, and need to be found once.
+    eighth = F.pmod(F.xxhash64("list"), F.lit(8)) == 0
+    open_ = materialise(join.close(join.rest.where(eighth), 1).union(join.close(join.rest.where(~eighth), 1)).distinct())
+    most = 1
+    while not open_.isEmpty():
+        most *= CLOSEST
+        open_ = materialise(join.close(join.rest.join(small_side(open_), "list", "left_semi"), most).distinct())
     labels = join.labels
     named = classes.select("node", "rep").join(labels.withColumnRenamed("id", "node"), "node", "left")
     named = named.withColumn("label", F.coalesce("component", "node"))
