@@ -49,7 +49,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most_rows: int = 1024, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most_rows: int = 1024, most_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most_bytes`` of text; a longer text is a slice of its own, never cut."""
     sizes = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(sizes)])
