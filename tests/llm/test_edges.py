@@ -257,3 +257,57 @@ def test_stages_keep_the_columns(odd, none, spark, tmp_path):
         assert out.columns == docs.columns and out.count() <= len(ROWS) and stage(spark, docs.limit(0), folder).count() == 0
     near = corpus_pipeline.drop_near_copies(spark, docs, folder)
     assert sorted(r["doc_id"] for r in near.where("doc_id IS NOT NULL").collect()) == [1, 3, 4, 5, 6, 7, 7]
+
+
+def plain_kneser_ney(texts):
+    """Log-probability of a character (the last one) behind three others, by language, in plain Python."""
+    found = {lang: {} for lang in texts}
+    for lang, many in texts.items():
+        for t in many:
+            t = "   " + t
+            for i in range(3, len(t)):
+                found[lang][t[i - 3 : i + 1]] = found[lang].get(t[i - 3 : i + 1], 0) + 1
+    levels = {lang: {4: n} for lang, n in found.items()}
+    for of in levels.values():
+        for order in (3, 2, 1):
+            of[order] = {}
+            for g in of[order + 1]:
+                of[order][g[1:]] = of[order].get(g[1:], 0) + 1
+    size = len({g for of in levels.values() for g in of[1]}) + 1
+
+    def p(lang, g):
+        if not g:
+            return 1 / size
+        of = levels[lang][len(g)]
+        once, twice = (sum(n == k for n in of.values()) for k in (1, 2))
+        d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+        near = [n for h, n in of.items() if h[:-1] == g[:-1]]
+        if not near:
+            return p(lang, g[1:])
+        return max(of.get(g, 0) - d, 0) / sum(near) + d * len(near) / sum(near) * p(lang, g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("part", [150, 4_000_000])
+def test_language_models_keep_all_4_grams(spark, monkeypatch, part):
+    monkeypatch.setattr(langid, "PART", part)
+    monkeypatch.setattr(langid, "SAMPLE", 5)
+    texts = {"de": ["das haus der kleinen dinge", "ein 日本 wort"], "en": ["the house of the rising sun", "once and only once: żółw"]}
+    docs = spark.createDataFrame([(i, t, lang) for lang, many in texts.items() for t in many for i in range(20)] + [(2, "xyzzy" * 9, "en")], "doc_id long, text string, lang string")
+    kept = docs.where(langid.fold(F.col("doc_id")) != 2).collect()
+    counted = {lang: ["".join(c if c.isalpha() else " " for c in r["text"]).replace("  ", " ") for r in kept if r["lang"] == lang] for lang in texts}
+    model = langid.train(docs)
+    assert (model.parts > 1) == (part == 150)
+    p = plain_kneser_ney(counted)
+    asked = ["the kleinen żółw", "日本 xq", "plain other words", None]
+    found = {}
+    schema = arrays.with_fields(spark.createDataFrame([], "text string").schema, size="long", sums="array<double>")
+    rows = langid._summed(spark.createDataFrame([(t,) for t in asked], "text string"), model, "text", lambda b, s, n: [b["text"], n, list(s)], schema).collect()
+    for r in rows:
+        found[r["text"]] = model.entropies(np.array([r["sums"]]), np.array([r["size"]]))[0]
+    for t in asked[:-1]:
+        for i, lang in enumerate(model.langs):
+            want = -sum(np.log(p(lang, ("   " + t)[j : j + 4])) for j in range(len(t))) / len(t)
+            assert abs(found[t][i] - want) < 1e-5
+    assert {r["lang_pred"] for r in langid.identify(docs.where("text LIKE '%日本%'"), model).collect()} == {"de"}
