@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.catalog.base import Registry, table
-from reviewlens.llm import bloom, bpe, decontaminate, epsilon, jaccard, langid, lines, pii, quality, secrets
+from reviewlens.llm import bloom, bpe, decontaminate, epsilon, jaccard, langid, lines, negatives, pii, pivots, quality, runs, secrets
 from reviewlens.llm.spans import count, written
 from reviewlens.plans.sizing import materialise
 
@@ -144,3 +144,94 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     counts = [count(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
     base = F.sha2(written(F.col("spans"), pii.KINDS, base_only=True), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), written(F.col("spans"), pii.KINDS).alias("spans"))
+
+
+NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.id AS anchor, b.id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+           FROM rows a JOIN rows b ON a.id % 100 = 0 AND a.id <> b.id),
+positives AS (SELECT anchor, id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place FROM scores WHERE same) WHERE place <= 5),
+windows AS (SELECT p.anchor, p.id AS positive, p.score AS positive_score, n.id AS negative, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS rank
+  FROM positives p JOIN scores n ON p.anchor = n.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, negative AS negative_id, positive_score, negative_score
+FROM windows WHERE rank <= 5"""
+
+
+@ENTRIES.add(NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of other labels that score close below the best rows of an anchor's label."""
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+#: The polynomial of CRC-32 in reversed bit order.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+RUNS_SQL = f"""
+WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w, {CRC_SQL} AS h FROM documents),
+ends AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+periods AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM ends),
+texts AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM periods),
+words AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word, len(w) AS n FROM texts),
+often AS (SELECT * FROM words QUALIFY count(*) OVER (PARTITION BY doc_id, word) >= 4),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM often x JOIN often y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+firsts AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN firsts ON d.doc_id = firsts.doc_id LEFT JOIN listed ON d.doc_id = listed.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The documents, a tenth of them with a text that repeats itself from some word on."""
+    word = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashed = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    chosen = F.col("h") % 10 == 0
+    cut = hashed.withColumn("w", F.when(chosen, word)).withColumn("n", F.size("w").cast("long"))
+    cut = cut.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", place(i).cast("int")))
+    return cut.select("doc_id", F.when(chosen & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@ENTRIES.add(RUNS_SQL)
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in every document, and the digest of the text without the repeats."""
+    docs = planted(table(spark, folder, "documents").select("doc_id", "text"))
+    found = runs.find_runs(docs)
+    most = runs.longest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.withColumn("most", most).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period",
+        F.floor(1000 * F.col("most.length") / F.col("most.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+PRODUCTS_SQL = """
+WITH rows AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.id AS query_id, b.id AS vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+           FROM rows a JOIN rows b ON a.id % 100 = 0 AND a.id <> b.id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 10"""
+
+
+@ENTRIES.add(PRODUCTS_SQL)
+def op13_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten vectors with the largest integer inner product, for every hundredth vector."""
+    return pivots.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
