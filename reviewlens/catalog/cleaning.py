@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlens import hotel
 from reviewlens.catalog.base import REVIEWS_SQL, Registry, quoted, reviews, rounded, table
 from reviewlens.functions import cleaning as fc
 from reviewlens.operators import cleaning, dedup, joins
+from reviewlens.plans.audit import Audit
 from reviewlens.plans.jobs import clean_entities, clean_reviews
 from reviewlens.session import shared_folder
+from reviewlens.sources import bucketed
+from reviewlens.sources.records import read_records
 from reviewlens.sources.tables import read_clean, read_raw_csv, write_csv, write_parquet
 
 ENTRIES = Registry()
@@ -228,10 +232,13 @@ def _lines(spark, folder):
     return table(spark, folder, "lineitem").select(F.col("l_partkey").alias("item"), "l_orderkey", "l_linenumber", "l_quantity")
 
 
-@ENTRIES.add("""
+_ENRICHED_SQL = """
 SELECT l_partkey AS item, l_orderkey, l_linenumber, l_quantity, p_name, p_brand
 FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_type <> 'PROMO') ON l_partkey = p_partkey
-""")
+"""
+
+
+@ENTRIES.add(_ENRICHED_SQL)
 def enrich_left(spark, folder):
     return joins.enrich(_lines(spark, folder), _entities(spark, folder), "item", ["p_name", "p_brand"])
 
@@ -368,3 +375,77 @@ def clean_reviews_job(spark, folder):
         stop_words=JOB_STOP_WORDS, wrong_words=JOB_WRONG_WORDS,
     )
     return rounded(cleaned, 6, "Mean_Reviewer_Score")
+
+
+# Every fortieth document is followed by a record with two fields, and every fiftieth by an empty line.
+BAD = "concat('bad ', CAST(doc_id AS STRING), ',\"two, fields\"')"
+
+
+def _raw_documents(spark, folder):
+    """The documents as raw text files with a header line per file, where texts hold line breaks and quotes."""
+    documents = table(spark, folder, "documents").drop("n_chars")
+    line = F.to_csv(F.struct(*documents.columns), {"escape": '"', "quoteAll": "true"})
+    extra = F.when(F.col("doc_id") % 40 == 0, F.expr(BAD)).when(F.col("doc_id") % 50 == 0, F.lit(""))
+    path = shared_folder(spark)
+    documents.select(F.concat_ws("\n", line, extra)).write.text(path)
+    return read_records(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in documents.columns]), header=False)
+
+
+@ENTRIES.add("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents")
+def csv_records(spark, folder):
+    """Raw text files whose fields hold line breaks, each file read by as many tasks as it has splits."""
+    return _raw_documents(spark, folder).rows
+
+
+@ENTRIES.add("SELECT 'number of fields' AS reason, 'bad ' || doc_id || ',\"two, fields\"' AS record FROM documents WHERE doc_id % 40 = 0")
+def csv_malformed(spark, folder):
+    """The records that don't fit."""
+    return _raw_documents(spark, folder).malformed.select("reason", "record")
+
+
+BUCKETS = 16
+
+
+@ENTRIES.add(_ENRICHED_SQL)
+def enrich_bucketed(spark, folder):
+    """The same from tables in buckets, without moving a row."""
+    rows, entities = (bucketed.write_bucketed(t(spark, folder), "item", BUCKETS) for t in (_lines, _entities))
+    return bucketed.enrich_bucketed(spark, rows, entities, "item", ["p_name", "p_brand"])
+
+
+@ENTRIES.add("""
+SELECT item, l_orderkey, l_linenumber, round(avg(l_quantity) OVER (PARTITION BY item), 6) AS mean
+FROM (SELECT l_partkey AS item, * FROM lineitem) WHERE item IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')
+""")
+def orphans_and_means_bucketed(spark, folder):
+    """Lines of known parts with the mean of all lines of their part, from tables in buckets."""
+    rows, entities = (bucketed.write_bucketed(t(spark, folder), "item", BUCKETS) for t in (_lines, _entities))
+    known = bucketed.write_bucketed(bucketed.drop_orphans_bucketed(spark, rows, entities, "item", "p_name"), "item", BUCKETS)
+    return rounded(bucketed.mean_on_rows_bucketed(spark, known, "item", "l_quantity", "mean"), 6, "mean").select("item", "l_orderkey", "l_linenumber", "mean")
+
+
+@ENTRIES.add(f"""
+WITH {REVIEWS_SQL}, raw AS ({_RAW_REVIEWS_SQL}), hotels AS ({_RAW_HOTELS_SQL}),
+present AS (SELECT * FROM raw WHERE Reviewer_Name IS NOT NULL AND Body IS NOT NULL),
+known AS (SELECT present.* FROM present JOIN hotels USING (Hotel_ID) WHERE Hotel_Name IS NOT NULL),
+firsts AS (SELECT DISTINCT Hotel_ID, Reviewer_Name, Nationality, Review_Date FROM known),
+counts AS (SELECT (SELECT count(*) FROM raw) AS r, (SELECT count(*) FROM present) AS p, (SELECT count(*) FROM known) AS k, (SELECT count(*) FROM firsts) AS u)
+SELECT 'read' AS step, 'rows' AS measure, r AS n FROM counts UNION ALL SELECT 'present', 'rows', p FROM counts UNION ALL SELECT 'known', 'rows', k FROM counts
+UNION ALL SELECT 'unique', 'rows', u FROM counts UNION ALL SELECT 'present', 'removed', r - p FROM counts UNION ALL SELECT 'known', 'removed', p - k FROM counts
+UNION ALL SELECT 'unique', 'removed', k - u FROM counts
+UNION ALL SELECT 'read', 'nulls of Reviewer_Name', count(*) - count(Reviewer_Name) FROM raw UNION ALL SELECT 'read', 'nulls of Body', count(*) - count(Body) FROM raw
+UNION ALL SELECT 'read', 'nulls of Hotel_ID', count(*) - count(Hotel_ID) FROM raw
+UNION ALL SELECT 'read', 'dirty Score', count(*) FROM raw WHERE lower(trim(coalesce(Score, 'nan'))) IN ({DIRTY})
+UNION ALL SELECT 'present', 'unscored', count(*) FROM present WHERE {_number_sql('Score')} IS NULL
+UNION ALL SELECT 'known', 'undated', count(*) FROM known WHERE Review_Date IS NULL
+""")
+def clean_reviews_audit(spark, folder):
+    """What the review job drops and finds, counted while its result is written."""
+    raw = reviews(spark, folder).select(*[F.expr(e).alias(c) for c, e in REVIEW_RAW.items()])
+    audit = Audit()
+    cleaned = clean_reviews(
+        raw, clean_entities(raw_hotels(spark, folder)), ["num", "Days", F.col("Score").asc_nulls_first()],
+        stop_words=JOB_STOP_WORDS, wrong_words=JOB_WRONG_WORDS, audit=audit,
+    )
+    write_parquet(cleaned, shared_folder(spark))
+    return audit.report(spark)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.catalog.base import REVIEWS_SQL, Registry, reviews, rounded, table
 from reviewlens.functions.text import terms
-from reviewlens.operators import collab, features, hybrid, stats
+from reviewlens.operators import collab, factors, features, hybrid, stats
 from reviewlens.plans.sizing import materialise
 from reviewlens.session import shared_folder
 
@@ -278,3 +278,49 @@ def random_split_facts(spark, folder):
     return per_row.agg(
         F.count("*").alias("rows"), F.bool_and(F.col("n").isNotNull()).alias("complete"), F.bool_and(F.coalesce("n", F.lit(1)) == 1).alias("disjoint"),
         (F.abs(F.avg("t") - 0.8) < 0.03).alias("about_four_fifths"))
+
+
+# Every twentieth embedding as a user, all as items, of lengths that differ.
+
+
+def _factors(spark, folder):
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.round(x.cast("double") * (1 + F.col("vec_id") % 50), 4)).alias("features"))
+    return rows.where("id % 20 = 0"), rows
+
+
+@ENTRIES.add("""
+WITH f AS (SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * (1 + vec_id % 50), 4)) AS v FROM embeddings),
+s AS (SELECT u.id AS user, i.id AS item, round(list_inner_product(u.v, i.v), 6) AS score FROM f u JOIN f i ON u.id % 20 = 0)
+SELECT user, item, score, CAST(row_number() OVER (PARTITION BY user ORDER BY score DESC, item) AS INTEGER) AS rank FROM s QUALIFY rank <= 10
+""")
+def factor_best_items(spark, folder):
+    """The items with the largest products for every user, by buckets of falling length."""
+    users, items = _factors(spark, folder)
+    return rounded(factors.best_items(users, items, 10, bucket=64), 6, "score")
+
+
+@ENTRIES.add()
+def als_best_items(spark, folder):
+    """The best items of all users by the stored factors."""
+    model = _fit(_ratings(spark, folder))
+    return factors.best_items(model.userFactors, model.itemFactors, 10)
+
+
+# Parts described by two numbers, so that SQL can solve the equations by Cramer's rule.
+@ENTRIES.add(f"""
+WITH {REVIEWS_SQL},
+f AS (SELECT p_partkey AS item, p_size / 50.0 AS a, p_retailprice / 2000.0 AS b FROM part),
+s AS (SELECT user, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * score) AS ra, sum(b * score) AS rb
+  FROM reviews JOIN f USING (item) GROUP BY user),
+m AS (SELECT user, aa + 0.1 * n AS aa, ab, bb + 0.1 * n AS bb, ra, rb FROM s)
+SELECT user, round((ra * bb - rb * ab) / (aa * bb - ab * ab), 6) AS first, round((aa * rb - ab * ra) / (aa * bb - ab * ab), 6) AS second FROM m
+""")
+def fold_in_factors(spark, folder):
+    """Factors of users by their ratings of parts with known factors."""
+    rows = reviews(spark, folder).select("user", "item", "score").withColumn("user_id", F.regexp_extract("user", r"(\d+)$", 1).cast("long"))
+    parts = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice").cast("double") / 2000.0).alias("features"))
+    found = factors.fold_in_users(rows, parts, "user_id", "item", "score", 0.1)
+    names = rows.select(F.col("user_id").alias("id"), "user").distinct()
+    made = found.join(names, "id").select("user", F.col("features")[0].alias("first"), F.col("features")[1].alias("second"))
+    return rounded(made, 6, "first", "second")

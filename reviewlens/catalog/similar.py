@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.catalog.base import Registry, quoted, rounded, table, texts
 from reviewlens.functions import text as ft
-from reviewlens.operators import features, joins, similar
+from reviewlens.operators import features, index, joins, nearest, similar
 from reviewlens.plans.sizing import materialise
 from reviewlens.session import shared_folder
 from reviewlens.sources.artefacts import load_artefacts, save_artefacts
@@ -234,6 +234,25 @@ def artefacts_roundtrip(spark, folder):
     return rounded(stored["weights"].join(stored["counts"], ["doc", "term"]), 6, "weight")
 
 
+@ENTRIES.add(f"""
+WITH {_COUNTS_SQL}, {_weights_sql('smooth', '(SELECT count(*) FROM documents)')},
+shared AS (SELECT q.doc AS src, d.doc AS rec, sum(q.weight * d.weight) AS dot FROM weights q JOIN weights d ON q.term = d.term
+  WHERE q.doc % 20 = 0 GROUP BY q.doc, d.doc),
+pairs AS (SELECT m.doc_id AS src, d.doc_id AS rec, round(coalesce(dot, 0), 9) AS sim FROM documents m JOIN documents d
+  ON m.doc_id % 20 = 0 AND m.doc_id <> d.doc_id LEFT JOIN shared ON shared.src = m.doc_id AND shared.rec = d.doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY sim DESC, rec) AS INTEGER) AS rank FROM pairs)
+SELECT src, rec, round(sim, 6) AS sim, rank FROM ranked WHERE rank <= 10
+""")
+def index_topk(spark, folder):
+    """The saved index, asked for every twentieth document."""
+    documents = _texts(spark, folder)
+    weights = features.tfidf(features.term_counts(documents, ["doc"], ["text"], unique=True), documents, "smooth")
+    path = shared_folder(spark)
+    index.save_index(index.build_index(materialise(similar.document_profiles(weights, documents))), path)
+    found = index.search(index.load_index(spark, path), documents.where("doc % 20 = 0"), 10)
+    return rounded(found, 6, "sim")
+
+
 # Label centroids as the second vector of each row.
 def _centroids(spark, folder):
     cells = table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
@@ -265,14 +284,23 @@ def vector_topk(spark, folder):
     return rounded(similar.top_vectors(table(spark, folder, "embeddings"), queries, "vec_id", "embedding", 10), 6, "cosine")
 
 
-@ENTRIES.add("""
+_ITEMS_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ranked AS (SELECT a.vec_id AS query, b.vec_id AS vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS cosine
   FROM v a, v b WHERE a.vec_id <> b.vec_id),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM ranked)
 SELECT query, vec_id, rank, round(cosine, 6) AS cosine FROM top WHERE rank <= 10
-""")
+"""
+
+
+@ENTRIES.add(_ITEMS_SQL)
 def vector_topk_items(spark, folder):
     items = table(spark, folder, "embeddings")
     queries = items.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     return rounded(similar.top_vectors(items, queries, "vec_id", "embedding", 10, exclude_self=True), 6, "cosine")
+
+
+@ENTRIES.add(_ITEMS_SQL)
+def vector_nearest_items(spark, folder):
+    """The same by cells around pivots."""
+    return rounded(nearest.nearest_items(table(spark, folder, "embeddings"), "vec_id", "embedding", 10), 6, "cosine")

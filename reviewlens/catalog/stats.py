@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewlens.catalog.base import REVIEWS_SQL, Registry, reviews, rounded, table
-from reviewlens.operators import joins, stats
+from reviewlens.operators import joins, sketches, stats
+from reviewlens.plans.sizing import materialise
+from reviewlens.session import shared_folder
 
 ENTRIES = Registry()
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -153,3 +155,30 @@ def group_mean_on_row(spark, folder):
         "l_orderkey", "l_partkey", "l_linenumber", F.expr("CASE WHEN l_returnflag <> 'A' THEN l_suppkey END").alias("entity"), "l_quantity"
     )
     return rounded(stats.mean_on_rows(lines, "entity", "l_quantity", "entity_mean"), 6, "entity_mean")
+
+
+@ENTRIES.add("""
+SELECT l_returnflag, count(l_extendedprice) AS count, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS std,
+  min(l_extendedprice) AS min, max(l_extendedprice) AS max, true AS quantiles_within, true AS distinct_within FROM lineitem GROUP BY l_returnflag
+""")
+def sketch_report(spark, folder):
+    """Statistics per flag from summaries per flag and day: half of the rows first, the other half appended later.
+
+    Of quantiles and numbers of different parts it says whether they are within their bounds of the exact ones.
+    """
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate", "l_extendedprice", "l_partkey")
+    path, group = shared_folder(spark), ["l_returnflag"]
+    for half in (0, 1):
+        sketches.append(lines.where(F.col("l_orderkey") % 2 == half), path, group, "l_shipdate", "l_extendedprice", "l_partkey")
+    made = materialise(sketches.report(spark.read.parquet(path), group, stats.QUARTILES))
+    # One row per flag.
+    met = lines.join(F.broadcast(made), group)
+    error = sketches.rank_error()
+    within = [
+        (F.count_if(F.col("l_extendedprice") < F.col(c)) / F.count("*") <= p + error) & (F.count_if(F.col("l_extendedprice") <= F.col(c)) / F.count("*") >= p - error)
+        for c, p in stats.QUARTILES.items()
+    ]
+    parts = F.countDistinct("l_partkey")
+    checked = met.groupBy(*group).agg(
+        (within[0] & within[1] & within[2]).alias("quantiles_within"), (F.abs(F.any_value("distinct") - parts) <= 0.1 * parts).alias("distinct_within"))
+    return rounded(made.join(checked, group), 4, "mean", "std").select(*group, "count", "mean", "std", "min", "max", "quantiles_within", "distinct_within")

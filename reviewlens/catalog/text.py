@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewlens.catalog.base import Registry, quoted, rounded, table, texts
+from reviewlens.functions import dictionary
 from reviewlens.functions import text as ft
-from reviewlens.operators import features, text
+from reviewlens.operators import features, heavy, language, phrases, text
 from reviewlens.operators.joins import without_listed
 from reviewlens.session import shared_folder
 from reviewlens.sources import words
@@ -75,6 +76,25 @@ def normalize_substring(spark, folder):
     return texts(spark, folder, "doc_id", "text").withColumn("text", ft.replace_substrings(F.col("text"), pairs))
 
 
+# A dictionary of the usual length by a rule: syllables with an ending, of which some occur, some only after an earlier
+# entry has written them, and some never.
+ENDINGS = (("n", "ñ"), ("ñd", "ND"), ("zq", "q"), ("r", "ř"), ("ře", "RE"))
+LONG_DICTIONARY = tuple((c + v + old, c + v + new) for old, new in ENDINGS for c in "bcdfghjklmnpqrstvwxz" for v in "aeiou")[:449]
+
+
+def _long_replace() -> str:
+    sql = "text"
+    for key, value in LONG_DICTIONARY:
+        sql = f"replace({sql}, '{key}', '{value}')"
+    return sql
+
+
+@ENTRIES.add(f"SELECT doc_id, {_long_replace()} AS text FROM documents")
+def normalize_dictionary(spark, folder):
+    """A dictionary of 449 entries, applied one after the other."""
+    return texts(spark, folder, "doc_id", "text").withColumn("text", dictionary.replace_entries(F.col("text"), LONG_DICTIONARY))
+
+
 _TOKEN_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DICTIONARY if v)
 
 
@@ -195,3 +215,73 @@ def word_file(spark, folder):
     path = shared_folder(spark)
     lines.write.text(path)
     return words.read_words(spark, path)
+
+
+_GRAMS_SQL = f"""
+tokens AS (SELECT doc_id, unnest({TERMS_SQL}) AS w, generate_subscripts({TERMS_SQL}, 1) AS i FROM documents),
+grams AS (SELECT w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM tokens WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+singles AS (SELECT a AS w, count(*) AS n FROM grams GROUP BY a),
+pairs AS (SELECT a, b, count(*) AS n FROM grams WHERE b IS NOT NULL AND NOT contains(a || b, '_') GROUP BY a, b HAVING count(*) >= {phrases.LEAST_COUNT}),
+two AS (SELECT a, b, p.n, CAST(p.n AS DOUBLE) * (SELECT sum(n) FROM singles) / (CAST(x.n AS DOUBLE) * y.n) AS score
+  FROM pairs p JOIN singles x ON a = x.w JOIN singles y ON b = y.w WHERE score >= {phrases.LEAST_SCORE}),
+triples AS (SELECT a, b, c, count(*) AS n FROM grams WHERE c IS NOT NULL GROUP BY a, b, c HAVING count(*) >= {phrases.LEAST_COUNT}),
+scored AS (SELECT t.a, t.b, t.c, t.n, CAST(t.n AS DOUBLE) * (SELECT sum(n) FROM singles) / (CAST(x.n AS DOUBLE) * m.n) AS score
+  FROM triples t JOIN two x ON t.a = x.a AND t.b = x.b JOIN two y ON t.b = y.a AND t.c = y.b JOIN singles m ON t.c = m.w),
+three AS (SELECT * FROM scored WHERE score >= {phrases.LEAST_SCORE})"""
+
+
+@ENTRIES.add(f"""WITH {_GRAMS_SQL}
+SELECT w AS phrase, 1 AS words, n, CAST(NULL AS DOUBLE) AS score FROM singles
+UNION ALL SELECT a || '_' || b, 2, n, round(score, 6) FROM two UNION ALL SELECT a || '_' || b || '_' || c, 3, n, round(score, 6) FROM three
+""")
+def phrase_lexicon(spark, folder):
+    """Words and compound words of the corpus with their association scores."""
+    return rounded(phrases.learn_phrases(texts(spark, folder, "text"), "text"), 6, "score")
+
+
+@ENTRIES.add()
+def compound_words(spark, folder):
+    """Every text as words and learned compounds."""
+    documents = texts(spark, folder, "doc_id", "text")
+    tokenise = phrases.compound_tokens(*phrases.phrase_shares(phrases.learn_phrases(documents, "text")))
+    return documents.select("doc_id", tokenise(F.col("text")).alias("tokens")).select(
+        "doc_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", lambda t: t.contains("_"))).alias("n_compounds"),
+        F.array_join("tokens", " ").alias("text"))
+
+
+_PIECES_SQL = rf"""
+pieces AS (SELECT doc_id, lang, string_split(' ' || regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g') || ' ', '') AS c FROM documents),
+grams AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM pieces),
+tallied AS (SELECT doc_id, lang, gram, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, gram, sum(n) AS n FROM tallied WHERE lang IS NOT NULL AND doc_id % 4 <> 2 GROUP BY ALL),
+profiles AS (SELECT lang, gram, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS INTEGER) AS rank FROM totals QUALIFY rank < {language.MOST})"""
+
+
+def _profiles(documents):
+    return language.learn_profiles(documents.where("doc_id % 4 <> 2"), "text", "lang")
+
+
+@ENTRIES.add(f"WITH {_PIECES_SQL} SELECT lang, gram, rank FROM profiles")
+def language_profiles(spark, folder):
+    """The most frequent character pieces of each language, three quarters of the documents being labelled."""
+    return _profiles(texts(spark, folder, "doc_id", "lang", "text"))
+
+
+@ENTRIES.add(f"""WITH {_PIECES_SQL},
+placed AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS place FROM tallied QUALIFY place < {language.MOST}),
+saved AS (SELECT doc_id, p.lang, sum({language.MOST} - abs(place - rank)) AS saved FROM placed JOIN profiles p USING (gram) GROUP BY ALL),
+best AS (SELECT doc_id, lang FROM saved QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY saved DESC, lang) = 1)
+SELECT d.doc_id, d.lang, best.lang AS guess FROM documents d LEFT JOIN best USING (doc_id)
+""")
+def language_by_profile(spark, folder):
+    """The language of every document by its character pieces."""
+    documents = texts(spark, folder, "doc_id", "lang", "text")
+    guesses = language.nearest_language(documents, ["doc_id"], "text", _profiles(documents), "guess")
+    return documents.select("doc_id", "lang").join(guesses, "doc_id")
+
+
+@ENTRIES.add(word_counts_sql("true", 200))
+def word_freq_heavy(spark, folder):
+    """The same as ``word_freq``, counting only words that can be among the first."""
+    words = texts(spark, folder, "text").select(F.filter(ft.cloud_words(F.col("text")), lambda w: ~w.isin(*STOP_WORDS)).alias("words"))
+    return rounded(heavy.heavy_frequencies(words, "words", 200), 6, "weight")
