@@ -2,11 +2,15 @@
 
 Every stage takes (spark, docs, folder of tables) and works on all rows that the one before kept. All but the last
 return the columns of ``docs``. Empty inputs give empty outputs; rows with null ids or repeated ids pass the
-stages as documents of their own, but copies of one text stay only once.
+stages as documents of their own, but copies of one text stay only once. A stage bounds the session's Arrow batches
+(``BATCH_BYTES``), which stays so after it, as its result is lazy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,23 @@ from reviewlens.llm import decontaminate, jaccard, lines, quality
 from reviewlens.llm.queries import LEAST_QUALITY, encoded
 from reviewlens.plans.sizing import materialise, small_side
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# Bytes of text that a Python worker is handed at a time; Spark's own bound is sixteen times that.
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session whose Arrow batches are small: workers serve all stages and keep the memory of the largest batch."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, folder)
+
+    return run
+
 
+@in_small_batches
 def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier does not reject; without labels of both kinds it rejects none."""
     model = quality.train(docs, table(spark, folder, "labels"))
@@ -24,12 +44,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
     return quality.score(docs, model, name="__score").where(F.col("__score") >= LEAST_QUALITY).select(docs.columns)
 
 
+@in_small_batches
 def drop_common_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without lines that ten documents or more share; the number of characters follows."""
     cut = lines.drop_frequent_lines(docs, least_docs=10).select(docs.columns)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
+@in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies: the smallest id.
 
@@ -43,6 +65,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     return kept if ids.where("first AND rows > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
+@in_small_batches
 def drop_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
     items = table(spark, folder, "benchmark")
@@ -50,6 +73,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     return found.where(F.size("__matches") == 0).select(docs.columns)
 
 
+@in_small_batches
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids with the digest of the text they decode to."""
     return encoded(docs, *[c for c in ("doc_id", "lang", "source") if c in docs.columns])
