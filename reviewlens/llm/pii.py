@@ -1,14 +1,16 @@
 """Personal data by patterns, and by bootstrapped contextual extraction.
 
 The patterns give base spans (email, ip, card, phone): the seeds. The one and the two words before a seed are
-lexical patterns, and tokens with an ``@`` or six digits and more that are no base span are candidates. Patterns and
-instances (the tokens) are a graph that Spark scores in rounds: a pattern's confidence is the share of its
-occurrences in all texts that stand before a trusted instance, a candidate's score the best confidence of a pattern
-that it follows with ``LEAST`` trusted instances; candidates that reach ``threshold`` are trusted in the next round.
-In the end candidates behind a confident pattern are spans of the kind ``other``.
+lexical patterns, and tokens with an ``@`` inside or four digits and more that are no base span are candidates. Words are
+what lies between white space and the marks of ``DELIMITERS``, so ``{"ssn":"5550109999"}`` and ``ssn = 5550109999`` are the same
+context; they are cut and counted by one rule. Patterns and instances (the tokens) are a graph that Spark scores in
+rounds: a pattern's confidence is the share of its occurrences in all texts that stand before a trusted instance, and it is
+confident if that reaches ``threshold`` with ``LEAST`` different ones. Candidates behind a confident pattern are trusted in the
+next round, and patterns that stand before these may become confident in turn. The rounds end when nothing more is
+trusted; then candidates behind a confident pattern are spans of the kind ``other``.
 
 Texts are read twice, for spans and to count the patterns' occurrences; what is shuffled are candidates and
-counts, aggregated per task. A bitmap of fixed size (2**20 bits) keeps words that precede no candidate out of
+counts, aggregated per task. A bitmap of fixed size (2**20 bits) keeps words that precede no seed or candidate out of
 the counts.
 
 Cases: null texts are empty and have no spans; without seeds nothing is added; a row with a repeated or null id is
@@ -38,9 +40,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"""[^\s,;()<>"']*(?:[0-9]|@)[^\s,;()<>"']*""")
-BEFORE = re.compile(r"[^\x20\x09-\x0D]+")
-ROUNDS, LEAST, MAP_BITS, HELD = 3, 3, 20, 1_000_000
+DELIMITERS = ",;()<>\"'{}[]:=|"
+_INSIDE = r"[^\x20\x09-\x0D" + re.escape(DELIMITERS) + "]*"
+TOKEN = re.compile(f"{_INSIDE}[0-9@]{_INSIDE}")
+DIGITS, LEAST, MAP_BITS, HELD = 4, 3, 20, 1_000_000
+# Bytes as contexts see them: delimiters separate words as white space does.
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[[ord(c) for c in DELIMITERS]] = 0x20
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -87,20 +93,29 @@ def _candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int,
     out = []
     for m in TOKEN.finditer(text) if "@" in text or any(d in text for d in "0123456789") else ():
         s, e = m.span()
-        if ("@" in m[0][1:-1] or sum(c.isdigit() for c in m[0]) >= 6) and all(e <= a or b <= s for _, a, b in base):
+        if ("@" in m[0][1:-1] or sum(c.isdigit() for c in m[0]) >= DIGITS) and all(e <= a or b <= s for _, a, b in base):
             out.append((s, e))
     return out
 
 
-def _contexts(befores: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the last word and of the last two words of each; 0 where there are fewer."""
-    data, offsets = arrays.utf8(pa.array(befores, pa.string()))
-    _, _, hashes, firsts = arrays.words(data, offsets)
-    count, last = np.diff(firsts), firsts[1:] - 1
-    if not len(hashes):
-        return np.zeros(len(befores), U), np.zeros(len(befores), U)
-    one = np.where(count > 0, pattern_one(hashes[np.maximum(last, 0)]), U(0))
-    two = np.where(count > 1, pattern_two(hashes[np.maximum(last - 1, 0)], hashes[np.maximum(last, 0)]), U(0))
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, where each starts, and of all words the ends, hashes and number before each text."""
+    data, offsets = arrays.utf8(texts)
+    _, ends, hashes, firsts = arrays.words(PLAIN[data], offsets)
+    return data, offsets, ends, hashes, firsts
+
+
+def _contexts(texts: pa.Array, places: list[list[tuple[int, int, bool]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the last word and of the last two words before each place; 0 where there are fewer."""
+    data, offsets, ends, hashes, firsts = _words(texts)
+    letters = np.flatnonzero((data & 0xC0) != 0x80)  # bytes that begin a code point
+    before = np.searchsorted(letters, offsets)
+    owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    at = letters[before[owner] + np.array([s for p in places for s, _, _ in p], np.int64)] if len(owner) else np.zeros(0, np.int64)
+    last = np.searchsorted(ends, at, "right") - 1
+    first = firsts[owner]
+    one = np.where(last >= first, pattern_one(hashes[np.maximum(last, 0)]), U(0)) if len(hashes) else np.zeros(len(owner), U)
+    two = np.where(last > first, pattern_two(hashes[np.maximum(last - 1, 0)], hashes[np.maximum(last, 0)]), U(0)) if len(hashes) else one
     return one, two
 
 
@@ -118,15 +133,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     node = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("said", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
     for batch in batches:
         for part in arrays.slices(batch, "text"):
-            spans, places, befores, said = [], [], [], []
+            spans, places, said = [], [], []
             for text in part["text"].to_pylist():
                 base = base_spans(text) if text else []
                 found = [(s, e, True) for _, s, e in base] + [(s, e, False) for s, e in _candidates(text, base)] if text else []
                 spans.append([{"kind": k, "start": s, "end": e, "base": True} for k, s, e in base])
                 places.append(found)
-                befores += [text[max(0, s - 200) : s] for s, _, _ in found]
                 said += ["".join(text[s:e].lower().split()) for s, e, _ in found]
-            one, two = _contexts(befores)
+            some = [i for i, found in enumerate(places) if found]
+            one, two = _contexts(part["text"].take(pa.array(some, pa.int32())), [places[i] for i in some])
             data, offsets = arrays.utf8(pa.array(said, pa.string()))
             starts, _, hashes, firsts = arrays.words(data, offsets)
             values = hashes[np.minimum(firsts[:-1], max(0, len(hashes) - 1))].view(np.int64) if len(hashes) else np.zeros(0, np.int64)
@@ -154,8 +169,7 @@ def _occurrences(bitmap: np.ndarray):
 
         for batch in batches:
             for part in arrays.slices(batch, "text"):
-                data, offsets = arrays.utf8(part["text"])
-                _, _, hashes, firsts = arrays.words(data, offsets)
+                _, _, _, hashes, firsts = _words(part["text"])
                 inner = np.ones(max(0, len(hashes) - 1), bool)
                 inner[firsts[(firsts > 0) & (firsts < len(hashes))] - 1] = False
                 keys = np.concatenate([pattern_one(hashes), pattern_two(hashes[:-1], hashes[1:])[inner]])
@@ -186,23 +200,20 @@ def find_personal(docs: DataFrame, *, id: str = "doc_id", text: str = "text", th
 
 def _score(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | None:
     """Occurrences of candidates behind confident patterns; none if there is no candidate or no seed."""
-    open_ = nodes.where("NOT base").select("pattern").distinct()
-    shared = nodes.where("base").select("pattern").distinct().join(open_, "pattern")
-    bucket = F.shiftrightunsigned("pattern", 64 - MAP_BITS)
-    shared = materialise(shared)
-    buckets = [r[0] for r in shared.select(bucket.alias("b")).distinct().collect()]
-    if not buckets:
+    if nodes.where("base").isEmpty() or nodes.where("NOT base").isEmpty():
         return None
+    met = nodes.select("pattern").distinct()
     bitmap = np.zeros(1 << MAP_BITS, bool)
-    bitmap[buckets] = True
+    # At most as many buckets as the bitmap has bits.
+    bitmap[[r[0] for r in met.select(F.shiftrightunsigned("pattern", 64 - MAP_BITS).alias("b")).distinct().collect()]] = True
     total = texts.select("text").mapInArrow(_occurrences(bitmap), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
-    total = materialise(total.join(shared, "pattern", "left_semi"))
     edges = materialise(nodes.groupBy("pattern", "said").agg(F.max("base").alias("base"), F.count("*").alias("n")).join(total, "pattern"))
-    trusted = edges.where("base").select("said").distinct()
-    for _ in range(ROUNDS):
-        trusted = materialise(trusted)
+    trusted, before, confident = materialise(edges.where("base").select("said").distinct()), 0, met.limit(0)
+    while True:
+        count = trusted.count()
+        if count == before:
+            return nodes.where("NOT base").join(confident, "pattern", "left_semi")
         confident = edges.join(trusted, "said", "left_semi").groupBy("pattern", "total").agg(F.sum("n").alias("hits"), F.count("*").alias("kinds"))
         confident = materialise(confident.where((F.col("kinds") >= LEAST) & (F.col("hits") >= threshold * F.col("total"))).select("pattern"))
         found = edges.where("NOT base").join(confident, "pattern", "left_semi").select("said")
-        trusted = trusted.union(found).distinct()
-    return nodes.where("NOT base").join(confident, "pattern", "left_semi")
+        trusted, before = materialise(trusted.union(found).distinct()), count

@@ -46,6 +46,8 @@ def test_bpe(odd, none):
     assert set(odd.columns) <= set(back.columns)
     assert pairs(back, "doc_id", F.col("decoded").cast("string")) == sorted(((i, t or "") for i, t, _ in ROWS), key=str)
     assert bpe.decode(bpe.encode(none, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+    once = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, decoded="decoded")
+    assert once.columns == back.columns and pairs(once, "doc_id", "ids", "decoded") == pairs(back, "doc_id", "ids", "decoded")
 
 
 @settings(max_examples=200, deadline=None)
@@ -239,6 +241,94 @@ def test_personal_data_behind_learned_words(spark):
     assert spans[99] == [("other", 19, 29)] and spans[100] == [] and all(len(spans[i]) == 1 for i in range(20))
 
 
+def other_spans(spark, rows, **more):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = pii.find_personal(docs, **more).collect()
+    return {r["doc_id"]: [t[s["start"] : s["end"]] for s in sorted(r["spans"], key=lambda x: x["start"]) if s["kind"] == "other"]
+            for r in found for i, t in rows if i == r["doc_id"] and t is not None}
+
+
+def test_personal_data_in_rounds(spark):
+    """Numbers found behind one word make another confident, which finds more, and so on for four rounds."""
+    rows = [(i, f"dial mobile +1 555 010-{i:04d} now") for i in range(60)]
+    chain = ["mobile", "private handset", "second line", "night extension", "last resort"]
+    for step, (known, new) in enumerate(zip(chain, chain[1:], strict=False)):
+        for j in range(20):
+            number = f"77{step}{j:05d}"
+            rows += [(1000 + 100 * step + 2 * j, f"call {known} {number} now"), (1001 + 100 * step + 2 * j, f"call {new} {number} now")]
+    rows += [(5000, "call last resort 99123456 now"), (5001, "invoice total 99123457 now"), (5002, "the last resort hotel")]
+    got = other_spans(spark, rows, threshold=0.45)
+    assert got[5000] == ["99123456"] and got[5001] == got[5002] == []
+    assert all(len(got[i]) == 1 for i, _ in rows if 1000 <= i < 5000)
+
+
+def test_personal_data_in_quotes_brackets_and_json(spark):
+    rows = [(i, f'{{"name": "x", "contact":"+1 555 010-{i:04d}"}} and more') for i in range(20)]
+    rows += [(100, '{"contact":"5550109999"}'), (101, "contact=(5550109998)"), (102, "contact: 5550109997,"), (103, '{"order":"5550109996"}'),
+             (104, "y" * 500 + " contact 5550109995"), (105, "contact " + " " * 400 + "5550109994"), (106, "n\u00e9e contact 5550109993")]
+    got = other_spans(spark, rows)
+    assert {i: got[i] for i in range(100, 107)} == {
+        100: ["5550109999"], 101: ["5550109998"], 102: ["5550109997"], 103: [], 104: ["5550109995"], 105: ["5550109994"], 106: ["5550109993"]}
+
+
+def plain_rounds(rows, threshold):
+    """The graph in plain Python: words as strings, every pattern counted by a look at every word."""
+    import re
+
+    word = re.compile("[^\\x20\\x09-\\x0D" + re.escape(pii.DELIMITERS) + "]+")
+    nodes, total = [], {}
+    for row, (_, text) in enumerate(rows):
+        places = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(text)]
+        for i, (_, _, w) in enumerate(places):
+            total[w,] = total.get((w,), 0) + 1
+            if i:
+                total[places[i - 1][2], w] = total.get((places[i - 1][2], w), 0) + 1
+        base = pii.base_spans(text)
+        for s, e, seed in [(s, e, True) for _, s, e in base] + [(s, e, False) for s, e in pii._candidates(text, base)]:
+            before = [w for _, end, w in places if end <= s]
+            patterns = ([tuple(before[-1:])] if before else []) + ([tuple(before[-2:])] if len(before) > 1 else [])
+            nodes.append((row, s, e, seed, "".join(text[s:e].lower().split()), patterns))
+    trusted, confident = {n[4] for n in nodes if n[3] and n[5]}, set()
+    while True:
+        hits = {}
+        for n in nodes:
+            for p in n[5]:
+                if n[4] in trusted:
+                    hits.setdefault(p, []).append(n[4])
+        confident = {p for p, said in hits.items() if len(set(said)) >= pii.LEAST and len(said) >= threshold * total[p]}
+        more = trusted | {n[4] for n in nodes if not n[3] and set(n[5]) & confident}
+        if more == trusted:
+            break
+        trusted = more
+    return {i: [t[s:e] for r, s, e, seed, _, patterns in nodes if r == row and not seed and set(patterns) & confident] for row, (i, t) in enumerate(rows)}
+
+
+def test_personal_data_as_a_plain_graph(spark):
+    random = np.random.default_rng(11)
+    words = ["call", "Mobile", "id", "ref", "the", "fax", "at", "(home)"]
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(random.integers(1, 8)):
+            parts.append(str(random.choice(words)) + str(random.choice([" ", ": ", "=", ' "'])))
+            kind = random.integers(0, 4)
+            parts.append([f"+44 20 7946 {random.integers(0, 30):04d}", f"{random.integers(0, 60):06d}", "plain", "x@y"][kind] + " ")
+        rows.append((i, "".join(parts)))
+    added = []
+    for threshold in (0.2, 0.4):
+        got = other_spans(spark, rows, threshold=threshold)
+        assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in plain_rounds(rows, threshold).items()}
+        added.append(sum(map(len, got.values())))
+    assert added[0] > added[-1]
+
+
+def test_lines_of_long_texts(spark):
+    """100,000 frequent lines in every text: looked up by halving, not one by one."""
+    rows = [(i, "\n".join(f"line number {j}" for j in range(100_000)) + f"\nown {i}\nown {i}") for i in range(3)]
+    got = lines.drop_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least_docs=3).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got) == [(i, f"own {i}\nown {i}", 100_002, 100_000) for i in range(3)]
+
+
 def test_slices_never_cut_a_text():
     import pyarrow as pa
 
