@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from reviewlens.catalog.base import REVIEWS_SQL, Registry, reviews, rounded, table
-from reviewlens.functions.text import terms
+from reviewlens.catalog.base import REVIEWS_SQL, Registry, quoted, reviews, rounded, table
+from reviewlens.functions.text import LANGUAGE_WORDS, terms
 from reviewlens.operators import collab, factors, features, hybrid, stats
 from reviewlens.plans.sizing import materialise
 from reviewlens.session import shared_folder
@@ -133,7 +134,8 @@ def hybrid_score_mean_model(spark, folder):
 
 def _ratings(spark, folder):
     """Ratings with dense ids of users and items, written once as the fit reads them in every iteration."""
-    rows = collab.with_index(collab.with_index(reviews(spark, folder), "user", "user_id"), "item", "item_id")
+    narrow = materialise(reviews(spark, folder).select("user", "item", "name", "score", "ordr", "nights"))
+    rows = collab.with_index(collab.with_index(narrow, "user", "user_id"), "item", "item_id")
     kept = collab.clean_ratings(rows, "user_id", "item_id", "score").withColumn("whole", F.col("score").cast("int"))
     return materialise(kept.select("user", "user_id", "item", "item_id", "name", "score", "ordr", "nights", "whole"))
 
@@ -204,6 +206,22 @@ def mllib_text_features(spark, folder):
     return made.select("doc_id", "tfidf_features")
 
 
+_WORDS_SQL = r"string_split_regex(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+$', ''), '[ \t\n\x0B\f\r]')"
+
+
+@ENTRIES.add(f"""
+SELECT doc_id, CAST(len(list_filter({_WORDS_SQL}, lambda w: w NOT IN ({quoted(LANGUAGE_WORDS['en'])}))) AS BIGINT) AS tokens, 2000 AS size
+FROM documents
+""")
+def mllib_text_facts(spark, folder):
+    """Per document the number of tokens that the hashed counts add up to, and the length of the vector."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    _, made = features.hashed_text_features(documents, "text", stop_words=LANGUAGE_WORDS["en"])
+    counts = vector_to_array("rawFeatures")
+    total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+    return made.select("doc_id", total.cast("long").alias("tokens"), F.size(counts).alias("size"))
+
+
 # What SQL can say about the factor model: which rows it scores, and whether its numbers fit together.
 def _dot(model, rows):
     """``rows`` with the product of the stored factors of their user and item."""

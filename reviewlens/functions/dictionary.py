@@ -9,13 +9,18 @@ a value was written, so after an entry has fired, just the later keys that share
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Sent to the workers with the functions themselves, so that they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def can_appear(key: str, value: str) -> bool:
     """Whether writing ``value`` somewhere can make an occurrence of ``key``: one that holds a letter of the value."""

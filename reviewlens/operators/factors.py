@@ -12,10 +12,12 @@ with many ratings are summed in several tasks, so one user with a third of all r
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +25,9 @@ from pyspark.sql import Window as W
 from reviewlens.plans.positions import with_position
 from reviewlens.plans.sizing import join_lookup, materialise
 
+# Sent to the workers with the functions themselves, so that they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Items of a bucket, users of a chunk, ratings of a user that one task sums.
 BUCKET = 4096
 CHUNK = 4096

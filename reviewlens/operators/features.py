@@ -14,6 +14,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover,
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.functions.marks import MODULI, moved_marks, text_marks
 from reviewlens.functions.text import Tokeniser, counted, terms
 from reviewlens.operators.dedup import keep_first
 from reviewlens.operators.joins import corpus_rows
@@ -56,33 +57,11 @@ def documents_per_entity(
     keys = [entity] if variant is None else [entity, variant]
     if dedup:
         marks = content_marks(reviews, rows, entity=entity, body=body, texts=text_attributes, order_by=order_by)
-        rows = keep_first(marks, [*_MARKS, "__pieces"], keys).drop(*_MARKS, "__pieces")
+        rows = keep_first(marks, [*_MARKS, "__bytes"], keys).drop(*_MARKS, "__bytes")
     return with_position(rows, [F.col(c).asc_nulls_first() for c in keys], "doc")
 
 
-# Primes and bases of the fingerprints; products of two residues fit into 64 bits.
-_MODULI = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_029), (2_147_483_587, 1_812_433_253), (2_147_483_579, 1_566_083_941))
-_MARKS = [f"__mark_{i}" for i in range(len(_MODULI))]
-
-
-def _fingerprints(pieces: Column) -> Column:
-    """Per modulus the value of the polynomial with the pieces' hashes as coefficients, the first one constant."""
-
-    def value(hashes: Column, p: int, base: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda done, h: (done * base + F.pmod(h, F.lit(p))) % p)
-
-    def values(hashes: Column) -> Column:
-        return F.array(*[value(hashes, p, base) for p, base in _MODULI])
-
-    # Bound as a lambda variable, so that the pieces are hashed once and not once per modulus.
-    return F.element_at(F.transform(F.array(F.transform(F.reverse(pieces), lambda piece: F.xxhash64(piece))), values), 1)
-
-
-def _shifted(value: Column, places: Column, i: int) -> Column:
-    """A fingerprint ``places`` pieces further on: times the base to that power, by its binary digits."""
-    p, base = _MODULI[i]
-    powers = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(pow(base, 2**k, p)).cast("long").alias("b")) for k in range(48)])
-    return F.aggregate(powers, value, lambda done, e: F.when(F.getbit(places, e["k"]) == 1, done * e["b"] % p).otherwise(done))
+_MARKS = [f"__mark_{i}" for i in range(len(MODULI))]
 
 
 def content_marks(
@@ -90,32 +69,30 @@ def content_marks(
 ) -> DataFrame:
     """Add a 124-bit fingerprint of each document's content to ``rows``.
 
-    Contents are equal if their space-separated pieces agree at every position. A body's fingerprint is taken in
-    its row, as a polynomial over its pieces; moving it by the pieces ahead of it is a product, and a document's is
-    the sum of its bodies'. Only numbers are shuffled, no text.
+    A body's mark is taken in its row; moving it behind the bytes ahead of it is a product, and a document's mark is the sum of
+    its bodies'. Only numbers are shuffled, no text.
     """
-    # The number of pieces is a stored column: the running total needs it, and the text stays behind.
+    # Every body takes the space behind it along.
+    spaced = F.concat(F.col(body), F.lit(" "))
     bodies = reviews.filter(F.col(entity).isNotNull() & F.col(body).isNotNull()).select(
-        entity, F.size(F.split(F.col(body), " ", -1)).cast("long").alias("__size"), _fingerprints(F.split(F.col(body), " ", -1)).alias("__prints"),
+        entity, F.octet_length(spaced).cast("long").alias("__size"), text_marks(spaced).alias("__prints"),
         *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_by)],
     )
     order = [F.col(f"__o{i}").asc() for i in range(len(order_by))]
     placed = with_running_total(bodies, order, "__end", [entity], F.col("__size"))
-    start = F.col("__end") - F.col("__size")
-    per_entity = placed.groupBy(entity).agg(
-        *[(F.sum(_shifted(F.col("__prints")[i], start, i)) % p).alias(f"__body_{i}") for i, (p, _) in enumerate(_MODULI)],
-        F.max("__end").alias("__body_pieces"),
+    shifted = placed.withColumn("__prints", moved_marks(F.col("__prints"), F.col("__end") - F.col("__size")))
+    per_entity = shifted.groupBy(entity).agg(
+        *[(F.sum(F.col("__prints")[i]) % p).alias(f"__body_{i}") for i, (p, _) in enumerate(MODULI)], F.max("__end").alias("__body_bytes"),
     )
     joined = join_lookup(rows, per_entity, [entity], "left", derived=True)
-    # An entity without any body contributes one empty piece, as joining an empty text would.
-    first = F.coalesce(F.col("__body_pieces"), F.lit(1).cast("long"))
-    rest = F.split(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts]), " ", -1)
-    nothing = _fingerprints(F.array(F.lit("")))
-    out = joined.withColumn("__rest", _fingerprints(rest)).withColumn("__pieces", first + F.size(rest))
-    for i, (p, _) in enumerate(_MODULI):
-        head = F.coalesce(F.col(f"__body_{i}"), nothing[i])
-        out = out.withColumn(_MARKS[i], (head + _shifted(F.col("__rest")[i], first, i)) % p)
-    return out.drop("__rest", "__body_pieces", *[f"__body_{i}" for i in range(len(_MODULI))])
+    # An entity without any body contributes an empty one.
+    first = F.coalesce(F.col("__body_bytes"), F.lit(1).cast("long"))
+    rest = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts])
+    out = joined.withColumn("__first", first).withColumn("__rest", moved_marks(text_marks(rest), F.col("__first"))).withColumn("__bytes", F.col("__first") + F.octet_length(rest))
+    for i, (p, _) in enumerate(MODULI):
+        # The mark of a single space is its coefficient.
+        out = out.withColumn(_MARKS[i], (F.coalesce(F.col(f"__body_{i}"), F.lit(33).cast("long")) + F.col("__rest")[i]) % p)
+    return out.drop("__rest", "__first", "__body_bytes", *[f"__body_{i}" for i in range(len(MODULI))])
 
 
 def entity_term_counts(

@@ -9,16 +9,21 @@ candidates, never the vocabulary. If the bounds leave words that no summary hold
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.plans.sizing import materialise, small_side
 
+# Sent to the workers with the functions themselves, so that they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CAPACITY = 20_000
 GROWTH = 8
 

@@ -12,10 +12,12 @@ what is found. Equal vectors are one class with its ``k + 1`` smallest ids. Zero
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +25,9 @@ from pyspark.sql import Window as W
 from reviewlens.plans.scoring import DIGITS
 from reviewlens.plans.sizing import materialise, small_side
 
+# Sent to the workers with the functions themselves, so that they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIVOTS = 1024
 # Vectors of a block, and blocks whose ranges a task compares with a block of queries.
 BLOCK = 256

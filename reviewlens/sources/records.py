@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import csv
 import re
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,9 @@ from pyspark.sql import Window as W
 
 from reviewlens.plans.sizing import materialise
 
+# Sent to the workers with the functions themselves, so that they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Bytes of a record that is put together, and of the fragments it comes in.
 RECORD_BYTES = 64 * 1024 * 1024
 FRAGMENT_BYTES = 4 * 1024 * 1024
