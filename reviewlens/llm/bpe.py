@@ -191,9 +191,13 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs``, or its columns ``keep``, with the token ids of each text, without special tokens."""
-    kept = list(keep) or [c for c in docs.columns if c != ids]
+def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", ids: str = "ids", keep: tuple[str, ...] = (), decoded: str | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with the token ids of each text, without special tokens.
+
+    ``decoded`` names a column for the bytes that the ids decode to, taken in the same pass: a pass of its own would need a
+    second worker per task.
+    """
+    kept = list(keep) or [c for c in docs.columns if c not in (ids, decoded)]
     place = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +210,16 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", i
                 where = np.fromiter((i for words in found for i in map(lexicon.place.__getitem__, words)), np.int64, int(counts.sum()))
                 sizes = lexicon.counts[where]
                 ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(gather(lexicon.ids, lexicon.starts[where], sizes)))
-                yield _with(part.select(kept), ids, lists)
-
-    schema = arrays.with_fields(place.drop("__text").schema, **{ids: "array<int>"})
-    return place.mapInArrow(run, schema)
+                tokens = gather(lexicon.ids, lexicon.starts[where], sizes)
+                out = _with(part.select(kept), ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens)))
+                if decoded is not None:
+                    data = lexicon.vocab.decode(tokens).tobytes()
+                    cuts = np.concatenate([[0], np.cumsum(lexicon.vocab.lengths[tokens])])[ends].tolist()
+                    out = _with(out, decoded, pa.array([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+                yield out
+
+    more = {ids: "array<int>"} | ({} if decoded is None else {decoded: "binary"})
+    return place.mapInArrow(run, arrays.with_fields(place.drop("__text").schema, **more))
 
 
 def decode(docs: DataFrame, ranks: bytes, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

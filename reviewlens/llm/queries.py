@@ -20,8 +20,7 @@ URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/":
 def encoded(docs: DataFrame, *keep: str) -> DataFrame:
     """Columns of the documents with ids, their number, and digests of the ids and of what they decode to."""
     ranks = bpe.load_ranks(RANKS)
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=keep)
-    back = bpe.decode(ids, ranks)
+    back = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=keep, decoded="decoded")
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return back.select(
         *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
