@@ -4,7 +4,7 @@ The texts of a slice become words (matches of the split pattern); each distinct
 task joins a batch. An inverted index from merge rank, and so from token pairs, to word positions holds
 where a pair occurs in the whole batch. Merges are applied in rank order, each at all its positions at once;
 only the touched neighbours get new entries. Words met before come from the task's lexicon, which is emptied
-when it reaches ``MOST_WORDS``. Nothing is shuffled.
+when it holds more than ``MOST_WORDS``. Nothing is shuffled.
 
 Cases: null and empty texts have no ids; ids decode to the bytes of the text; an unknown id fails the job
 with its number; other columns and repeated or null document ids pass unchanged. Very long texts and words
@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from reviewlens.llm import arrays
 NONE = np.iinfo(np.int64).max
 MOST_WORDS = 200_000
 SLICE_BYTES = 2 << 20
+DECODED = 1 << 16
 
 
 def load_ranks(path: str) -> bytes:
@@ -83,6 +86,18 @@ class Vocabulary:
             raise ValueError(f"no token has the id {wrong[0] if len(wrong) else ids[self.lengths[ids] < 0][0]}")
         return gather(self.data, self.starts[ids], self.lengths[ids])
 
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of the texts whose ids lie between these ends, about ``DECODED`` ids at a time."""
+        out, at = [], 0
+        while at < len(ends) - 1:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + DECODED, "right")) - 1)
+            run = ids[ends[at] : ends[to]]
+            data = self.decode(run).tobytes()
+            cuts = np.concatenate([[0], np.cumsum(self.lengths[run])])[ends[at : to + 1] - ends[at]].tolist()
+            out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            at = to
+        return out
+
 
 @lru_cache(maxsize=2)
 def vocabulary(content: bytes) -> Vocabulary:
@@ -163,25 +178,22 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
 
 
 class Lexicon:
-    """Ids of the words a task has met."""
+    """Ids of the words a task has met, which are numbered as they come."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[str, int] = defaultdict(count().__next__)
         self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > MOST_WORDS and self.place:
-            self.clear()
-            new = list(words)
+    def learn(self) -> None:
+        """Replay the merges over the words that were numbered since the last time."""
+        new = list(islice(self.place, len(self.counts), None))
         if not new:
             return
         ids, counts = replay([w.encode() for w in new], self.vocab)
-        self.place.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
         self.counts = np.append(self.counts, counts)
         self.ids = np.append(self.ids, ids.astype(np.int32))
@@ -204,18 +216,19 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", i
         split, lexicon = regex.compile(pattern).findall, Lexicon(vocabulary(ranks))
         for batch in batches:
             for part in arrays.slices(batch, "__text", most_rows=4096, most_bytes=SLICE_BYTES):
-                found = [split(t) for t in part["__text"].to_pylist()]
-                lexicon.learn(set().union(*found))
+                if len(lexicon.place) > MOST_WORDS:
+                    lexicon.clear()
+                # Of a text's words only the numbers are held.
+                found = [np.fromiter(map(lexicon.place.__getitem__, split(t)), np.int32) for t in part["__text"].to_pylist()]
+                lexicon.learn()
                 counts = np.fromiter(map(len, found), np.int64, len(found))
-                where = np.fromiter((i for words in found for i in map(lexicon.place.__getitem__, words)), np.int64, int(counts.sum()))
+                where = np.concatenate(found)
                 sizes = lexicon.counts[where]
                 ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
                 tokens = gather(lexicon.ids, lexicon.starts[where], sizes)
                 out = _with(part.select(kept), ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens)))
                 if decoded is not None:
-                    data = lexicon.vocab.decode(tokens).tobytes()
-                    cuts = np.concatenate([[0], np.cumsum(lexicon.vocab.lengths[tokens])])[ends].tolist()
-                    out = _with(out, decoded, pa.array([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+                    out = _with(out, decoded, pa.array(lexicon.vocab.texts(tokens, ends), pa.binary()))
                 yield out
 
     more = {ids: "array<int>"} | ({} if decoded is None else {decoded: "binary"})
