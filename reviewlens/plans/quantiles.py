@@ -3,8 +3,8 @@
 ``percentile`` keeps every distinct value of a column in one aggregation buffer. Here the first pass
 takes a mergeable sketch, which brackets each wanted rank, together with the plain summaries. The
 second counts the values inside the brackets one by one and those between brackets in one number; a
-distributed running total over these counts gives the ranks. Where a bracket misses its rank the
-second pass repeats with wider brackets, at last with the whole range.
+running total over these counts gives the ranks, a distributed one if there are more of them than one task should sort. Where
+a bracket misses its rank the second pass repeats with wider brackets, at last with the whole range.
 """
 
 from __future__ import annotations
@@ -15,12 +15,16 @@ from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from reviewlens.plans.positions import with_running_total
+from reviewlens.plans.sizing import fits_broadcast, materialise
 
 # Half widths of the brackets, as shares of the rows.
 MARGINS = (1e-4, 1e-2, 1.0)
 ACCURACY = 100_000
+# Counts that a single task sorts per column.
+SORTED_ROWS = 1_000_000
 
 
 @dataclass
@@ -90,7 +94,11 @@ def _pick(
         zone = sum(((v >= low).cast("int") + (v > high).cast("int") for low, high in merged), F.lit(0))
         parts.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("c"), zone.alias("zone"), F.when(zone % 2 == 1, v).alias("value"))))
     counted = values.select(F.inline(F.array_compact(F.array(*parts)))).groupBy("c", "zone", "value").agg(F.count("*").alias("n"))
-    placed = with_running_total(counted, [F.col("zone").asc(), F.col("value").asc()], "upto", ["c"], F.col("n"))
+    counted = materialise(counted)
+    if fits_broadcast(counted, SORTED_ROWS):
+        placed = counted.withColumn("upto", F.sum("n").over(W.partitionBy("c").orderBy("zone", "value")))
+    else:
+        placed = with_running_total(counted, [F.col("zone").asc(), F.col("value").asc()], "upto", ["c"], F.col("n"))
     # One row per column and wanted rank.
     wanted = values.sparkSession.createDataFrame([(i, j, floor(r), ceil(r)) for (i, j), r in ranks.items()], "c int, j int, below long, above long")
 
