@@ -200,17 +200,35 @@ def recommend_keyword_pooled(spark, folder):
     return similar.recommend_pooled(profiles, documents, entity="source", name="name", keyword=KEYWORD, k=10, attributes=["address"])
 
 
-@ENTRIES.add(f"""{_LOG2_SQL},
+_INDEX_SQL = f"""{_LOG2_SQL},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, rec) AS rank FROM pairs),
 named AS (SELECT src, rank, sim, s.name AS source_name, r.name AS recommended_name, r.address FROM ranked
   JOIN docs s ON src = s.doc JOIN docs r ON rec = r.doc WHERE rank <= 5),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY recommended_name ORDER BY src, rank) AS f FROM named)
 SELECT source_name, recommended_name, address, round(sim, 6) AS score FROM firsts WHERE f = 1
-""")
-def recommend_index(spark, folder):
+"""
+
+
+def _log2(spark, folder):
     documents = _documents(spark, folder)
     weights = features.tfidf(_entity_counts(spark, folder, documents, ft.stripped_tokens(STOP_WORDS)), documents, "log2")
-    profiles = materialise(similar.document_profiles(weights, documents))
+    return documents, materialise(similar.document_profiles(weights, documents))
+
+
+@ENTRIES.add(_INDEX_SQL)
+def recommend_stored_index(spark, folder):
+    """The same from a saved inverted index."""
+    documents, profiles = _log2(spark, folder)
+    path = shared_folder(spark)
+    index.save_index(index.build_index(profiles), path)
+    stored = index.load_index(spark, path)
+    found = similar.recommend_from_index(stored, documents, entity="source", name="name", keyword=KEYWORD, k=5, attributes=["address"])
+    return rounded(found, 6, "score")
+
+
+@ENTRIES.add(_INDEX_SQL)
+def recommend_index(spark, folder):
+    documents, profiles = _log2(spark, folder)
     found = similar.recommend_from_index(profiles, documents, entity="source", name="name", keyword=KEYWORD, k=5, attributes=["address"])
     return rounded(found, 6, "score")
 
