@@ -10,8 +10,8 @@ next round, and patterns that stand before these may become confident in turn. T
 trusted; then candidates behind a confident pattern are spans of the kind ``other``.
 
 Texts are read twice, for spans and to count the patterns' occurrences; what is shuffled are candidates and
-counts, aggregated per task. A bitmap of fixed size (2**20 bits) keeps words that precede no seed or candidate out of
-the counts.
+counts, aggregated per task. A bitmap of fixed size (2**22 bits) keeps words out of the counts that precede fewer than ``LEAST``
+different seeds and candidates, as these can never be confident.
 
 Cases: null texts are empty and have no spans; without seeds nothing is added; a row with a repeated or null id is
 a row of its own; other columns are ignored. Positions are code points, ends exclusive.
@@ -43,7 +43,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DELIMITERS = ",;()<>\"'{}[]:=|"
 _INSIDE = r"[^\x20\x09-\x0D" + re.escape(DELIMITERS) + "]*"
 TOKEN = re.compile(f"{_INSIDE}[0-9@]{_INSIDE}")
-DIGITS, LEAST, MAP_BITS, HELD = 4, 3, 20, 1_000_000
+DIGITS, LEAST, MAP_BITS, HELD = 4, 3, 22, 1_000_000
 # Bytes as contexts see them: delimiters separate words as white space does.
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[[ord(c) for c in DELIMITERS]] = 0x20
@@ -202,12 +202,14 @@ def _score(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame |
     """Occurrences of candidates behind confident patterns; none if there is no candidate or no seed."""
     if nodes.where("base").isEmpty() or nodes.where("NOT base").isEmpty():
         return None
-    met = nodes.select("pattern").distinct()
+    edges = materialise(nodes.groupBy("pattern", "said").agg(F.max("base").alias("base"), F.count("*").alias("n")))
+    # A pattern of fewer instances can never be confident.
+    met = materialise(edges.groupBy("pattern").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST).select("pattern"))
     bitmap = np.zeros(1 << MAP_BITS, bool)
     # At most as many buckets as the bitmap has bits.
-    bitmap[[r[0] for r in met.select(F.shiftrightunsigned("pattern", 64 - MAP_BITS).alias("b")).distinct().collect()]] = True
+    bitmap[met.select(F.shiftrightunsigned("pattern", 64 - MAP_BITS).alias("b")).distinct().toArrow()["b"].to_numpy()] = True
     total = texts.select("text").mapInArrow(_occurrences(bitmap), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
-    edges = materialise(nodes.groupBy("pattern", "said").agg(F.max("base").alias("base"), F.count("*").alias("n")).join(total, "pattern"))
+    edges = materialise(edges.join(total.join(met, "pattern", "left_semi"), "pattern"))
     trusted, before, confident = materialise(edges.where("base").select("said").distinct()), 0, met.limit(0)
     while True:
         count = trusted.count()
