@@ -202,7 +202,7 @@ def cut_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFra
 
 def _header(spark: SparkSession, path: str, delimiter: str) -> list[str]:
     first = spark.read.option("lineSep", "\n").text(path).first()
-    return next(csv.reader([first[0].lstrip("﻿").rstrip("\r")], delimiter=delimiter)) if first else []
+    return next(csv.reader([first[0].lstrip("\ufeff").rstrip("\r")], delimiter=delimiter)) if first else []
 
 
 def read_records(
