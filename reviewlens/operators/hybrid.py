@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.plans.sizing import BROADCAST_ROWS, join_lookup
+from reviewlens.plans.sizing import BROADCAST_ROWS, fits_broadcast, join_lookup, materialise
 
 # Fixed value: share of the collaborative score in the blend.
 ALPHA = 0.7
@@ -21,7 +21,7 @@ def item_text_vectors(df: DataFrame, item: str, text: str, features: int = 2000)
     words = Tokenizer(inputCol=text, outputCol="__words").transform(df.select(item, text).filter(F.col(text).isNotNull()))
     kept = StopWordsRemover(inputCol="__words", outputCol="__kept").transform(words)
     hashed = HashingTF(inputCol="__kept", outputCol="__tf", numFeatures=features).transform(kept)
-    per_item = hashed.groupBy(item).agg(Summarizer.sum(F.col("__tf")).alias("__tf"))
+    per_item = materialise(hashed.groupBy(item).agg(Summarizer.sum(F.col("__tf")).alias("__tf")))
     model = IDF(inputCol="__tf", outputCol="tfidf_features").fit(per_item)
     return model.transform(per_item).select(item, "tfidf_features")
 
@@ -32,7 +32,10 @@ def hybrid_join(predictions: DataFrame, contents: DataFrame, item: str, max_rows
     ``contents`` must have one row per item: joining one row per review would repeat every
     prediction once for each review of the item.
     """
-    return join_lookup(predictions, contents, [item], "left", max_rows)
+    if fits_broadcast(contents, max_rows):
+        return predictions.join(F.broadcast(contents), item, "left")
+    # Vectors of mostly zeros shuffle as few bytes, by which adaptive execution would broadcast them.
+    return predictions.join(contents.hint("merge"), item, "left")
 
 
 def user_profiles(ratings: DataFrame, weights: DataFrame, user: str, item: str, rating: str) -> DataFrame:

@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from reviewlens.operators import dedup, joins, stats
@@ -174,3 +175,9 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default)))
+
+
+def test_vectors_count_with_their_numbers(spark):
+    rows = [(i, Vectors.dense([0.0] * 2000)) for i in range(20)]
+    df = spark.createDataFrame(rows, ["id", "v"])
+    assert fits_broadcast(df, 100, 400_000) and not fits_broadcast(df, 100, 300_000)
