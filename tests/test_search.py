@@ -191,6 +191,31 @@ def test_compounds_of_a_stop_list_match(spark, lexicon):
     assert {r["term"] for r in kept.collect()} == {"love", "lot"}
 
 
+def test_compounds_by_a_lexicon_of_any_size(spark, lexicon, monkeypatch):
+    """The phrases meet the texts by a join: nothing is collected, and rows may repeat or have nulls."""
+    counts, total = phrases.phrase_shares(lexicon[1])
+    segment = phrases.Segmenter(counts, total)
+    monkeypatch.setattr(phrases, "phrase_shares", None)
+    random = np.random.default_rng(11)
+    words = ["new", "york", "city", "room", "hotel", "of", "the", "unseen"]
+    lists = [None, [], *(random.choice(words, random.integers(0, 12)).tolist() for _ in range(200))]
+    df = spark.createDataFrame([(i % 50 or None, t, t) for i, t in enumerate(lists)], "id long, was array<string>, t array<string>")
+    got = phrases.compound_texts(df, "t", lexicon[1]).collect()
+    assert len(got) == len(lists) and all(r["t"] == (segment(r["was"]) if r["was"] else r["was"]) for r in got)
+    assert any("_" in w for r in got for w in r["t"] or [])
+
+
+def test_pairs_are_counted_by_hash_before_they_move_as_text(spark, monkeypatch):
+    """Of pairs that are too rare only a few reach the count by text."""
+    df = spark.createDataFrame([(f"one{i} two{i} red house",) for i in range(600)], "text string")
+    seen = []
+    made = phrases.sieve
+    monkeypatch.setattr(phrases, "sieve", lambda keys: seen.append(keys.count()) or made(keys))
+    got = {r["phrase"]: r["n"] for r in phrases.learn_phrases(df, "text").collect() if r["words"] > 1}
+    assert seen[0] == 1 and not got  # only "red_house" is frequent, and no more so than its words
+    assert phrases.learn_phrases(df, "text", least_score=0.5).where("phrase = 'red_house' AND n = 600").count() == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_compound_words_of_all_documents(spark):
     """The registered query against a segmentation that tries every start of every segment."""
