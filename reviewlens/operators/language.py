@@ -32,8 +32,9 @@ def grams(text: Column, size: int = SIZE) -> Column:
 def learn_profiles(df: DataFrame, text: str, lang: str, most: int = MOST) -> DataFrame:
     """Profiles ``(lang, gram, rank)`` of the labelled rows; ties go to the smaller piece, ranks start at 0."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    pieces = labelled.select(F.col(lang).alias("lang"), F.inline(counted(grams(F.col(text)))))
-    totals = pieces.groupBy("lang", "term").agg(F.sum("tf").alias("n"))
+    # A language has few different pieces: tasks count them in a hash table, without sorting a text's pieces.
+    pieces = labelled.select(F.col(lang).alias("lang"), F.explode(grams(F.col(text))).alias("term"))
+    totals = pieces.groupBy("lang", "term").agg(F.count("*").alias("n"))
     # Rows of a language are its different pieces, of which all but the first go ahead of the shuffle.
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term"))
     ranked = totals.withColumn("rank", rank).where(F.col("rank") <= most)

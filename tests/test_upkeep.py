@@ -107,6 +107,13 @@ def test_profiles_tell_languages_better_than_the_vote(spark):
     assert sum(r["guess"] == r["lang"] for r in rows) > 0.97 * len(rows)
 
 
+def test_profiles_count_pieces_without_sorting_texts(spark):
+    df = spark.createDataFrame([("aba aba", "x"), ("ab", "x"), ("b", None)], "t string, l string")
+    made = language.learn_profiles(df, "t", "l")
+    assert [(r["gram"], r["rank"]) for r in made.orderBy("rank").limit(2).collect()] == [(" ab", 0), ("aba", 1)]
+    assert "array_sort" not in made._jdf.queryExecution().toString()
+
+
 def test_texts_without_letters_have_no_language(spark):
     df = spark.createDataFrame([(1, "the cat", "en"), (2, "der Hund", "de"), (3, "12 !", None), (4, None, "en"), (5, "", None), (6, "the", None)], "k int, t string, l string")
     found = language.nearest_language(df, ["k"], "t", language.learn_profiles(df, "t", "l"))
