@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,5 +107,16 @@ def remove_listed_words(
     # Of the words only listed ones are gathered, each once per text.
     banned = tokens.join(listed, "__word").groupBy(*key).agg(F.collect_set("__word").alias("__banned"))
     joined = df.join(banned, list(key), "left")
-    kept = F.filter(split_words(F.col(text)), lambda w: ~F.coalesce(F.array_contains("__banned", F.lower(w)), F.lit(False)))
-    return joined.withColumn(text, F.array_join(kept, " ")).drop("__banned")
+
+    @F.arrow_udf("string")
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        # A set per text: a word costs the same however many of the text's words are listed.
+        for words_, lower_, banned_ in batches:
+            out = []
+            for plain, low, gone in zip(words_.to_pylist(), lower_.to_pylist(), banned_.to_pylist(), strict=True):
+                gone = frozenset(gone or ())
+                out.append(None if plain is None else " ".join(w for w, form in zip(plain, low, strict=True) if form not in gone))
+            yield pa.array(out, pa.string())
+
+    split = split_words(F.col(text))
+    return joined.withColumn(text, kept(split, lower, F.col("__banned"))).drop("__banned")

@@ -95,6 +95,13 @@ def test_remove_listed_words_equals_in_row_removal(spark):
     assert found == {r.i: r.t for r in df.withColumn("t", ft.drop_words(F.col("t"), ["bad", "the"])).collect()}
 
 
+def test_removal_of_many_words_looks_each_up_once(spark):
+    words = [f"w{i}" for i in range(3000)]
+    df = spark.createDataFrame([(1, " ".join([*words, "Kept", *words]))], "i int, t string")
+    made = text.remove_listed_words(df, ["i"], "t", spark.createDataFrame([(w,) for w in words], "word string"))
+    assert made.first().t == "Kept" and "array_contains" not in made._jdf.queryExecution().toString()
+
+
 def test_word_files(spark, tmp_path):
     (tmp_path / "w.txt").write_text("một_hai\n\n  và \nvà\n", encoding="utf-8")
     assert features.word_list(sources.read_words(spark, str(tmp_path / "w.txt"))) == ["một_hai", "và"]
