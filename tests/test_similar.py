@@ -73,6 +73,22 @@ def test_tfidf(documents, scheme, max_rows):
     assert all(found[k] == pytest.approx(wanted[k]) for k in wanted)
 
 
+def test_only_counts_of_rare_terms_are_shuffled(spark):
+    """The most frequent terms that fit are broadcast, also if the whole vocabulary does not."""
+    rows = [(d, t, 1) for d in range(40) for t in ("all", "half" if d % 2 else "own", f"rare{d}")]
+    counts = materialise(spark.createDataFrame(rows, "doc int, term string, tf int"))
+    idf = materialise(counts.groupBy("term").agg(F.count("*").alias("df"), F.lit(2.0).alias("idf")))
+    for max_rows, far in ((3, 40), (1, 80), (0, 120), (100, 0)):
+        made = features._with_idf(counts, idf, max_rows)
+        assert sorted(r["term"] for r in made.collect()) == sorted(t for _, t, _ in rows)
+        assert ("Union" in made._jdf.queryExecution().toString()) == (0 < far < 120)
+
+
+def test_hashed_features_split_texts_once(spark):
+    _, made = features.hashed_text_features(spark.createDataFrame([("a pool",), ("a view",)], "text string"), features=16)
+    assert made.inputFiles() and all("reviewlens-" in f for f in made.inputFiles())
+
+
 @pytest.fixture(scope="module")
 def profiles(documents, weights):
     return materialise(similar.document_profiles(weights, documents, "entity"))
