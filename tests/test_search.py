@@ -80,6 +80,18 @@ def test_index_as_all_products(spark, tmp_path, clusters):
     assert index.search(stored, sources.limit(0), 6).count() == 0
 
 
+def test_long_documents_make_small_groups(spark):
+    """A group holds about as many terms as allowed, however few documents these are."""
+    df, rows = profiles(spark, 300)
+    built = index.build_index(df, block=4, blocks=5, group_terms=40)
+    most = max(len(r[2]) for r in rows)
+    held = built.postings.groupBy("group").agg(F.sum(F.size("docs")).alias("n"), F.countDistinct("block").alias("blocks")).collect()
+    assert max(r["n"] for r in held) <= 40 + most and max(r["blocks"] for r in held) <= 5
+    sources = df.where("doc % 7 = 0")
+    got = sorted((r["src"], r["rank"], r["rec"], round(r["sim"], 9)) for r in index.search(built, sources, 6).collect())
+    assert got == sorted((r["src"], r["rank"], r["rec"], round(r["sim"], 9)) for r in similar.top_documents(df, sources, 6).collect())
+
+
 def test_index_skips_documents(spark):
     """Queries with near copies: once these are found, nothing else can come near."""
     random = np.random.default_rng(4)
