@@ -7,8 +7,8 @@ from base spans of a bounded sample of documents (``SAMPLE`` with and ``SAMPLE``
 neighbours and file are hidden half of the time, so that the shape alone has to do. A tagged run of at least ``LEAST`` characters
 with a mean lead over outside above ``margin`` becomes a span of the kind ``other`` unless it overlaps a base span.
 
-Decoding is Viterbi over whole texts. In the model a token without a digit or mark that is shorter than 24 characters
-is always outside, so the stretches between such tokens are decoded one by one.
+Decoding is Viterbi over whole texts and all tokens. A token is left out of it only where no run of tags other than outside
+that holds it can outweigh outside: the best path passes there anyway, and the stretches between such tokens are decoded one by one.
 
 Cases: null texts are empty and have no spans; without base spans to learn from the field adds none; repeated ids
 and all other columns pass unchanged but for one named ``spans``. Positions are code points, ends exclusive.
@@ -36,10 +36,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of the class that is long enough is found at its first character
 TOKEN = re.compile(r"""[^\s"'`,;(){}\[\]<>=:|]+""")
 MARK = re.compile(r"[0-9_+/\\$%@#&*~^]")
-LONG = re.compile(r"""[^\s"'`,;(){}\[\]<>=:|]{24}""")
 FILE = re.compile(r"(?m)^\s*(?:#include|import |def |class |export |var |let |const |\w+\s*[:=])")
 WORDS = frozenset(("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "auth", "bearer", "credential", "private", "access"))
 LEAST, SAMPLE, WIDTH = 16, 2_000, 1 << 14
+KNOWN = 500_000  # different tokens whose scores a task keeps
 O, B, I = 0, 1, 2  # noqa: E741
 NEVER = -1e9
 
@@ -103,6 +103,14 @@ class Field:
     def __init__(self):
         self.state, self.moves = np.zeros((WIDTH, 3)), np.zeros((3, 3))
         self.learned = False
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is kept of tokens; for changed weights."""
+        self.known: dict[str, int] | None = None
+        self.rows: dict[tuple, int] = {}
+        self.kinds: dict[tuple, np.ndarray] = {}
+        self.table = np.zeros((0, 5, 3))
 
     def emissions(self, rows: list[list[int]]) -> np.ndarray:
         return np.stack([self.state[r].sum(0) for r in rows]) if rows else np.zeros((0, 3))
@@ -130,6 +138,7 @@ class Field:
     def fit(self, sequences: list[tuple[list[list[int]], list[int]]], turns: int = 8, rate: float = 0.2, decay: float = 1e-4) -> None:
         """Maximise the conditional likelihood by stochastic gradients (AdaGrad); forward and backward sums."""
         self.learned = any(any(tags) for _, tags in sequences)
+        self.forget()
         if not self.learned:
             return
         seen, seen_moves = np.full((WIDTH, 3), 1e-6), np.full((3, 3), 1e-6)
@@ -161,20 +170,55 @@ class Field:
                 seen_moves += pairs**2
                 self.moves -= rate * pairs / np.sqrt(seen_moves)
 
+    def scores(self, tokens: list[str], in_file: bool) -> np.ndarray:
+        """:meth:`emissions` of the :func:`features` of all tokens, added up from what each token gives itself and its neighbours."""
+        if self.known is None or len(self.known) > KNOWN:
+            self.known = {}
+        ids = [self.known.get(t, -1) for t in tokens]
+        for i, t in enumerate(tokens):
+            if ids[i] < 0:
+                ids[i] = self.known[t] = self._kind(t)
+        if len(self.table) <= len(self.kinds):
+            end = [self.state[number(f"{step}:end")] for step in (-2, -1, 1)]
+            self.table = np.stack([np.stack([*end[:2], *end]), *self.kinds.values()])  # the first row for a missing neighbour
+        beside = np.zeros(len(tokens) + 3, np.int64)
+        beside[2:-1] = ids
+        return self.table[beside[2:-1], int(in_file)] + self.table[beside[:-3], 2] + self.table[beside[1:-2], 3] + self.table[beside[3:], 4]
+
+    def _kind(self, token: str) -> int:
+        """The row of the table for tokens with these features."""
+        name, size = token.lower(), min(len(token), 40)
+        kind = shape(token), size // 4, size // 8, name.strip("-_.") in WORDS, min(len(name) // 4, 6)
+        if kind not in self.rows:
+            # What such a token adds to its own scores, outside and inside a file, and to those of its neighbours behind, next and ahead.
+            own = [self.state[features([token], 0, f)].sum(0) - sum(self.state[number(f"{step}:end")] for step in (-2, -1, 1)) for f in (False, True)]
+            near = [self.state[number(f"{step}k:{kind[3]}")] + self.state[number(f"{step}l:{kind[4]}")] for step in (-2, -1, 1)]
+            self.rows[kind] = len(self.kinds) + 1
+            self.kinds[kind] = np.stack([*own, *near])
+        return self.rows[kind]
+
+    def open_tokens(self, scores: np.ndarray) -> np.ndarray:
+        """Places of the tokens that may not be outside: a run of other tags that holds them may reach the score of outside."""
+        moves = self._moves()
+        # The most that a step into, inside or out of a run gains; a run of n tokens has n + 1 steps.
+        step = max(moves[O, B], moves[1:, :].max()) - moves[O, O]
+        gain = np.concatenate([[0.0], np.cumsum(scores[:, 1:].max(1) - scores[:, O] + step)])
+        most = np.maximum.accumulate(gain[:0:-1])[::-1] - np.minimum.accumulate(gain[:-1])
+        return np.flatnonzero(most + step >= -1e-6)
+
     def spans(self, text: str, margin: float) -> list[tuple[int, int]]:
         """Runs tagged as a secret."""
-        if not self.learned or (MARK.search(text) is None and LONG.search(text) is None):
+        marks = list(TOKEN.finditer(text)) if self.learned else []
+        if not marks:
             return []
-        marks = list(TOKEN.finditer(text))
-        tokens = [m[0] for m in marks]
-        live = [i for i, t in enumerate(tokens) if may_hold(t)]
-        in_file = FILE.search(text) is not None
+        scores = self.scores([m[0] for m in marks], FILE.search(text) is not None)
+        live = self.open_tokens(scores).tolist()
         out, at = [], 0
         while at < len(live):
             to = at + 1
             while to < len(live) and live[to] == live[to - 1] + 1:
                 to += 1
-            part = self.emissions([features(tokens, i, in_file) for i in live[at:to]])
+            part = scores[live[at] : live[to - 1] + 1]
             begin = None
             for k, tag in enumerate([*self.viterbi(part), O]):
                 if begin is not None and tag != I:
@@ -189,11 +233,6 @@ class Field:
         return out
 
 
-def may_hold(token: str) -> bool:
-    """Whether the model considers a token."""
-    return len(token) >= 24 or MARK.search(token) is not None
-
-
 def _sequences(text: str, hide: bool) -> Iterator[tuple[list[list[int]], list[int]]]:
     """Stretches of twelve tokens around base spans, and one elsewhere, with their tags."""
     spans = sorted((s, e) for _, s, e in base_spans(text))
@@ -209,9 +248,12 @@ def _sequences(text: str, hide: bool) -> Iterator[tuple[list[list[int]], list[in
         tags.append(O if held is None else I if held == before else B)
         before = held
     in_file = FILE.search(text) is not None
-    centres = [i for i, t in enumerate(tags) if t == B] or [i for i, t in enumerate(tokens) if may_hold(t)][:3] or ([len(tokens) // 2] if tokens else [])
+    centres = [i for i, t in enumerate(tags) if t == B]
+    if not centres and tokens:
+        # Tokens that look like one, and plain words.
+        centres = sorted({*[i for i, t in enumerate(tokens) if len(t) >= 24 or MARK.search(t)][:3], len(tokens) // 2})
     done = 0
-    for c in centres if spans else centres[:3]:
+    for c in centres if spans else centres[:4]:
         a, b = max(done, c - 6), min(len(tokens), c + 7)
         if a < b:
             yield [features(tokens, i, in_file, hide) for i in range(a, b)], tags[a:b]

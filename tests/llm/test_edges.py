@@ -401,3 +401,25 @@ def test_language_models_keep_all_4_grams(spark, monkeypatch, part):
             want = -sum(np.log(p(lang, ("   " + t)[j : j + 4])) for j in range(len(t))) / len(t)
             assert abs(found[t][i] - want) < 1e-5
     assert {r["lang_pred"] for r in langid.identify(docs.where("text LIKE '%日本%'"), model).collect()} == {"de"}
+
+
+def test_secret_field_decodes_every_token():
+    """Letters alone may be a secret, and leaving out hopeless tokens changes no path of whole texts."""
+    random = np.random.default_rng(5)
+    field = secrets.Field()
+    field.learned = True
+    texts = ["key = abcdefghijklmnopqrst and more words", "plain words only", "x", "a1 b2 c3", "token: Zq9 " * 5]
+    for turn in range(40):
+        field.state, field.moves = random.normal(-0.2, 1, (secrets.WIDTH, 3)), random.normal(0, 1, (3, 3))
+        field.forget()
+        for text in texts:
+            tokens = [m[0] for m in secrets.TOKEN.finditer(text)]
+            whole = field.emissions([secrets.features(tokens, i, turn % 2 == 1) for i in range(len(tokens))])
+            scores = field.scores(tokens, turn % 2 == 1)
+            assert np.allclose(whole, scores)
+            tags, live = field.viterbi(whole), set(field.open_tokens(scores).tolist())
+            assert all(t == secrets.O for i, t in enumerate(tags) if i not in live)
+    field.state[:], field.moves[:] = 0, 0
+    field.forget()
+    field.state[secrets.number(f"s:{secrets.shape('abcdefghijklmnopqrst')}")] = [-9, 9, -9]
+    assert field.spans("key = abcdefghijklmnopqrst and", 2.0) == [(6, 26)]
