@@ -233,3 +233,15 @@ def test_artefacts(spark, documents, weights, tmp_path):
     assert all(sorted(map(str, read[n].collect())) == sorted(map(str, made[n].collect())) for n in made)
     with pytest.raises(ValueError):
         save_artefacts({"index": counts}, str(tmp_path))
+
+
+def test_top_vectors_with_ties_in_small_steps(spark, monkeypatch):
+    """Rows as good as the k-th are kept through every step of a block, and ties go to the smaller id."""
+    monkeypatch.setattr(similar, "SCORED_ROWS", 3)
+    rows = [(i, [1.0, float(i % 2)] if i % 5 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = df.select(F.col("id").alias("query"), F.col("v").alias("vector"))
+    got = {(r["query"], r["rank"]): r["id"] for r in similar.top_vectors(df, queries, "id", "v", 4, exclude_self=True).collect()}
+    for i, v in rows:
+        same = [j for j, w in rows if j != i and (w == v if v else True)]
+        assert [got[i, r] for r in (1, 2, 3, 4)] == same[:4]
