@@ -6,6 +6,10 @@ the largest of these distances. First every vector meets its own cell's block, w
 neighbour. Then it meets the blocks only that can hold something nearer: a block is too far if the distance to its pivot
 differs from all of the block's by more than the bound, or if the boundary of the two cells is further than that.
 
+Blocks are dealt into chunks, and each pair of chunks of which blocks meet is one task's group: the vectors travel once per pair of chunks,
+not once per pair of blocks, and a group passes on ``k`` matches per vector. There are about ``PARTS`` chunks, more where one would
+hold over ``NUMBERS`` numbers or ``CHUNK`` vectors.
+
 Pivots are a sample of at most ``PIVOTS`` vectors, about the square root of their number; they decide how much is skipped, never
 what is found. Equal vectors are one class with its ``k + 1`` smallest ids. Zero and null vectors have cosine 0 with all.
 """
@@ -20,6 +24,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from reviewlens.plans.scoring import DIGITS
@@ -29,14 +34,19 @@ from reviewlens.plans.sizing import materialise, small_side
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIVOTS = 1024
-# Vectors of a block, and blocks whose ranges a task compares with a block of queries.
+# Vectors of a block.
 BLOCK = 256
+# Chunks of blocks, and the numbers and vectors that one chunk holds at most.
+PARTS = 8
+NUMBERS = 2**21
+CHUNK = 2**15
 SCALE = 10**DIGITS
 SLACK = 1e-6  # covers the rounding of cosines to DIGITS places and of distances
 
 _FOUND = pa.schema([(n, pa.int64()) for n in ("query", "node", "rep", "score")])
 _FOUND_DDL = "query long, node long, rep long, score long"
-_BLOCK_DDL = "cell int, low double, high double, node binary, rep binary, v binary"
+_BLOCK_DDL = "cell int, low double, high double, node binary, rep binary, v binary, least binary"
+_MET_DDL = "source long, q_chunk int, chunk int, blocks array<long>, counts array<int>, asking binary"
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -56,25 +66,30 @@ def _reach(scores: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (scores / SCALE - SLACK)))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of one cell as rows of one block each."""
-    for batch in batches:
-        cell = batch["cell"].to_numpy()
-        cuts = np.flatnonzero(np.diff(cell)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(cell)], strict=True):
-            for at in range(a, b, BLOCK):
-                part = batch.slice(at, min(BLOCK, b - at))
-                away = part["away"].to_numpy()
-                yield pa.RecordBatch.from_pydict({
-                    "cell": part["cell"][:1], "low": pa.array([away.min()]), "high": pa.array([away.max()]),
-                    "node": pa.array([part["node"].to_numpy().tobytes()], pa.binary()), "rep": pa.array([part["rep"].to_numpy().tobytes()], pa.binary()),
-                    "v": pa.array([unit_rows(part["v"]).tobytes()], pa.binary()),
-                })
-
+def _pack(k: int, stored: type):
+    """Runs of one cell as rows of one block each, with the k-th score of every vector inside its block, the least possible if that holds fewer."""
 
-def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    node = np.frombuffer(row["node"], np.int64)
-    return node, np.frombuffer(row["rep"], np.int64), np.frombuffer(row["v"], np.float64).reshape(len(node), -1)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch["cell"].to_numpy()
+            cuts = np.flatnonzero(np.diff(cell)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(cell)], strict=True):
+                for at in range(a, b, BLOCK):
+                    part = batch.slice(at, min(BLOCK, b - at))
+                    away, rows = part["away"].to_numpy(), unit_rows(part["v"])
+                    least = np.partition(_scores(rows, rows), -k, 1)[:, -k] if len(rows) >= k else np.full(len(rows), -2 * SCALE)
+                    flat = part["v"].flatten().to_numpy(zero_copy_only=False).astype(stored)
+                    binary = [pa.array([x.tobytes()], pa.binary()) for x in (part["node"].to_numpy(), part["rep"].to_numpy(), flat, least)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part["cell"][:1], pa.array([away.min()]), pa.array([away.max()]), *binary], ["cell", "low", "high", "node", "rep", "v", "least"])
+
+    return pack
+
+
+def _unpacked(data: bytes, count: int, stored: type) -> np.ndarray:
+    """The vectors of a block as unit rows."""
+    rows = np.frombuffer(data, stored).reshape(count, -1).astype(np.float64)
+    return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
 def _best(nodes: np.ndarray, reps: np.ndarray, scores: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -90,32 +105,18 @@ def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.rint((x @ y.T) * SCALE).astype(np.int64)
 
 
-def _own(k: int):
-    """The k-th score of every vector inside its block, the least possible if the block holds fewer."""
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                node, _, rows = _block({c: batch[c][i].as_py() for c in ("node", "rep", "v")})
-                scores = _scores(rows, rows)
-                least = np.partition(scores, -k, 1)[:, -k] if len(rows) >= k else np.full(len(rows), -2 * SCALE)
-                yield pa.RecordBatch.from_pydict({"block": batch["block"].slice(i, 1), "least": pa.array([least.tobytes()], pa.binary())})
-
-    return own
-
-
-def _nearby(pivots: np.ndarray, blocks: list[tuple[np.ndarray, ...]]):
-    """For each block the other blocks that may hold something nearer to one of its vectors, with the places of these vectors."""
+def _nearby(pivots: np.ndarray, blocks: list[np.ndarray], chunks: np.ndarray, stored: type):
+    """For each block the other blocks, by chunk, that may hold something nearer to one of its vectors, with the places of these vectors."""
 
     def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, cell, low, high = blocks
         apart = distances(pivots, pivots)
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch[c][i].as_py() for c in ("block", "cell", "node", "rep", "v", "least")}
-                _, _, rows = _block(row)
-                reach = _reach(np.frombuffer(row["least"], np.int64).astype(np.float64))
-                far = distances(rows, pivots)
+                row = {c: batch[c][i].as_py() for c in ("block", "cell", "v", "least")}
+                least = np.frombuffer(row["least"], np.int64)
+                reach = _reach(least.astype(np.float64))
+                far = distances(_unpacked(row["v"], len(least), stored), pivots)
                 away = far[:, row["cell"]]
                 # From a vector to the boundary with another cell.
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -123,35 +124,50 @@ def _nearby(pivots: np.ndarray, blocks: list[tuple[np.ndarray, ...]]):
                 border[:, apart[row["cell"]] == 0] = 0
                 ring = np.maximum(far[:, cell] - high, low - far[:, cell])
                 near = np.maximum(ring, border[:, cell]) <= reach[:, None] + SLACK
-                for j in np.flatnonzero(near.any(0)):
+                some = near.any(0)
+                q_chunk = chunks[np.searchsorted(number, row["block"])]
+                for chunk in np.unique(chunks[some]):
+                    at = np.flatnonzero(some & (chunks == chunk))
                     yield pa.RecordBatch.from_pydict({
-                        "source": pa.array([row["block"]], pa.int64()), "block": pa.array([number[j]], pa.int64()),
-                        "asking": pa.array([np.flatnonzero(near[:, j]).astype(np.int32).tobytes()], pa.binary()),
+                        "source": pa.array([row["block"]], pa.int64()), "q_chunk": pa.array([q_chunk], pa.int32()), "chunk": pa.array([chunk], pa.int32()),
+                        "blocks": pa.array([number[at]], pa.list_(pa.int64())), "counts": pa.array([near[:, at].sum(0).astype(np.int32)], pa.list_(pa.int32())),
+                        "asking": pa.array([np.packbits(near[:, at]).tobytes()], pa.binary()),
                     })
 
     return nearby
 
 
-def _meet(k: int):
-    """The best matches in one block for some vectors of another."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch[c][i].as_py() for c in ("asking", "least", "q_node", "q_v", "node", "rep", "v")}
-                asking = np.frombuffer(row["asking"], np.int32)
-                node, rep, rows = _block(row)
-                query = np.frombuffer(row["q_node"], np.int64)[asking]
-                vectors = np.frombuffer(row["q_v"], np.float64).reshape(-1, rows.shape[1])[asking]
-                scores, least = _scores(vectors, rows), np.frombuffer(row["least"], np.int64)[asking]
-                out = [np.stack([np.full(len(at), query[j]), node[at], rep[at], scores[j, at]]) for j, at in _best(node, rep, scores, least, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], schema=_FOUND)
+def _meet(k: int, stored: type):
+    """The best matches in the blocks of one chunk for the vectors of another that ask for them."""
+
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = [np.zeros((4, 0), np.int64)]
+        # By place of the block: ids and vectors are unpacked once.
+        nodes = {r["block"]: (np.frombuffer(r["node"], np.int64), np.frombuffer(r["rep"], np.int64), r["v"]) for r in held.select(["block", "node", "rep", "v"]).to_pylist()}
+        vectors = {b: _unpacked(v, len(node), stored) for b, (node, _, v) in nodes.items()}
+        for i in range(asked.num_rows):
+            row = {c: asked[c][i].as_py() for c in ("blocks", "asking", "least", "q_node", "q_v")}
+            query, least = np.frombuffer(row["q_node"], np.int64), np.frombuffer(row["least"], np.int64)
+            rows, met = _unpacked(row["q_v"], len(query), stored), row["blocks"]
+            near = np.unpackbits(np.frombuffer(row["asking"], np.uint8), count=len(query) * len(met)).reshape(len(query), -1).astype(bool)
+            node, rep = (np.concatenate([nodes[b][c] for b in met]) for c in (0, 1))
+            scores, at = np.full((len(query), len(node)), -3 * SCALE), 0
+            for j, b in enumerate(met):
+                size, some = len(vectors[b]), near[:, j]
+                if some.all():
+                    scores[:, at : at + size] = _scores(rows, vectors[b])
+                else:
+                    scores[some, at : at + size] = _scores(rows[some], vectors[b])
+                at += size
+            out += [np.stack([np.full(len(p), query[j]), node[p], rep[p], scores[j, p]]) for j, p in _best(node, rep, scores, least, k)]
+        return pa.Table.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], schema=_FOUND)
 
     return meet
 
 
-def _prepared(df: DataFrame, id_col: str, vector: str, k: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows, classes of equal vectors, meetings of blocks, and blocks with the k-th scores of their vectors."""
+def _prepared(df: DataFrame, id_col: str, vector: str, k: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, type]:
+    """Rows, classes of equal vectors, meetings of blocks, blocks with the k-th scores of their vectors, and the type of their numbers."""
+    stored = np.float32 if df.schema[vector].dataType == T.ArrayType(T.FloatType(), df.schema[vector].dataType.containsNull) else np.float64
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = materialise(rows.withColumn("v", F.when(F.exists("v", lambda x: x != 0), F.col("v"))))
     place = F.row_number().over(W.partitionBy("v").orderBy("id"))
@@ -171,15 +187,16 @@ def _prepared(df: DataFrame, id_col: str, vector: str, k: int, pivots: int) -> t
     kind = "v array<double>, rep long, node long, cell int, away double"
     order = ["cell", "away", "node"]
     celled = materialise(classes.select("v", "rep", "node").mapInArrow(placed, kind))
-    blocks = celled.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack, _BLOCK_DDL)
+    blocks = celled.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack(k, stored), _BLOCK_DDL)
     blocks = materialise(blocks.withColumn("block", F.monotonically_increasing_id()))
-    least = blocks.select("block", "node", "rep", "v").mapInArrow(_own(k), "block long, least binary")
-    blocks = materialise(blocks.join(least, "block"))
-    # Four numbers per block of BLOCK vectors.
-    ranges = blocks.select("block", "cell", "low", "high").toArrow()
+    # Five numbers per block of BLOCK vectors.
+    ranges = blocks.select("block", "cell", "low", "high", (F.octet_length("node") / 8).cast("long").alias("size")).toArrow().sort_by("block")
     listed = [ranges[c].to_numpy() for c in ("block", "cell", "low", "high")]
-    met = materialise(blocks.select("block", "cell", "node", "rep", "v", "least").mapInArrow(_nearby(chosen, listed), "source long, block long, asking binary"))
-    return rows, classes, met, blocks
+    upto = np.cumsum(ranges["size"].to_numpy())
+    most = max(BLOCK, min(CHUNK, NUMBERS // max(1, chosen.shape[1]), -(-int(upto[-1]) // PARTS) if len(upto) else 0))
+    chunks = ((upto - ranges["size"].to_numpy()) // most).astype(np.int32)
+    met = materialise(blocks.select("block", "cell", "v", "least").mapInArrow(_nearby(chosen, listed, chunks, stored), _MET_DDL))
+    return rows, classes, met, blocks, stored
 
 
 def nearest_items(df: DataFrame, id_col: str, vector: str, k: int, pivots: int = PIVOTS) -> DataFrame:
@@ -189,9 +206,12 @@ def nearest_items(df: DataFrame, id_col: str, vector: str, k: int, pivots: int =
     """
     # The vector itself is among the matches found.
     most = k + 1
-    rows, classes, met, blocks = _prepared(df, id_col, vector, most, pivots)
+    rows, classes, met, blocks, stored = _prepared(df, id_col, vector, most, pivots)
     asked = blocks.select(F.col("block").alias("source"), F.col("node").alias("q_node"), F.col("v").alias("q_v"), "least")
-    found = met.join(asked, "source").join(blocks.select("block", "node", "rep", "v"), "block").drop("source", "block").mapInArrow(_meet(most), _FOUND_DDL)
+    asked = met.drop("counts").join(asked, "source")
+    needed = met.select(F.col("q_chunk").alias("for_chunk"), F.col("chunk").alias("of_chunk"), F.explode("blocks").alias("block")).distinct()
+    held = needed.join(blocks.select("block", "node", "rep", "v"), "block")
+    found = asked.groupBy("q_chunk", "chunk").cogroup(held.groupBy("for_chunk", "of_chunk")).applyInArrow(_meet(most, stored), _FOUND_DDL)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))
     best = found.withColumn("place", rank).where(F.col("place") <= most).join(classes.select("node", "ids"), "node")
     listed = best.select("query", F.explode("ids").alias("id"), "score")
@@ -212,9 +232,9 @@ def nearest_items(df: DataFrame, id_col: str, vector: str, k: int, pivots: int =
 
 def products_done(df: DataFrame, id_col: str, vector: str, k: int, pivots: int = PIVOTS) -> DataFrame:
     """One row: ``products`` of two vectors that :func:`nearest_items` multiplies, ``vectors`` (different ones) and ``pivots`` products."""
-    _, classes, met, blocks = _prepared(df, id_col, vector, k + 1, pivots)
-    size = lambda c, width: F.octet_length(c).cast("long") / width
-    sizes = blocks.select("block", size("node", 8).alias("size"))
-    joined = met.select("block", size("asking", 4).alias("asking")).join(small_side(sizes), "block")
+    _, classes, met, blocks, _ = _prepared(df, id_col, vector, k + 1, pivots)
+    sizes = blocks.select("block", (F.octet_length("node").cast("long") / 8).alias("size"))
+    pairs = met.select(F.inline(F.arrays_zip(F.col("blocks").alias("block"), F.col("counts").alias("asking"))))
+    joined = pairs.join(small_side(sizes), "block")
     own = sizes.agg(F.sum(F.col("size") * F.col("size"))).scalar()
     return joined.agg((F.sum(F.col("asking") * F.col("size")) + own).cast("long").alias("products")).withColumn("vectors", classes.agg(F.count("*")).scalar())

@@ -156,6 +156,20 @@ def test_nearest_items_skip_far_cells(spark):
     assert done[1] < done[0] / 2
 
 
+def test_nearest_vectors_travel_once_per_pair_of_chunks(spark, monkeypatch):
+    """Vectors that no cell tells apart: a block is sent to a bounded number of chunks, not to every other block."""
+    monkeypatch.setattr(nearest, "BLOCK", 8)
+    random = np.random.default_rng(10)
+    rows = [(i, random.normal(size=24).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(4)
+    _, _, met, blocks, _ = nearest._prepared(df, "id", "v", 4, nearest.PIVOTS)
+    most = met.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert blocks.count() > 60 and most <= nearest.PARTS + 1
+    single = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
+    got = nearest.nearest_items(df, "id", "v", 3)
+    assert sorted((r["query"], r["rank"], r["id"], round(r["cosine"], 9)) for r in got.collect()) == plain_nearest(single, 3)
+
+
 @pytest.fixture(scope="module")
 def lexicon(spark):
     texts = ["new york city is big", "i love new york city", "new york city new york city", "york is old", "new is new"] * 3 + ["the room of the hotel"] * 5
