@@ -138,12 +138,15 @@ def distinct_sorted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct().orderBy(*columns)
 
 
-def mean_on_rows(df: DataFrame, key: str, value: str, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def mean_on_rows(
+    df: DataFrame, key: str, value: str, name: str, max_rows: int = BROADCAST_ROWS, of: DataFrame | None = None
+) -> DataFrame:
     """Repeat the mean of each key on all its rows; rows without a key get null.
 
-    Aggregated first and joined back: a window would put all rows of a hot key into one task.
+    Aggregated first and joined back: a window would put all rows of a hot key into one task. The means are those of the rows
+    ``of``, by default the same.
     """
-    means = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias(name))
+    means = (df if of is None else of).filter(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias(name))
     return join_lookup(df, means, [key], "left", max_rows, derived=True)
 
 

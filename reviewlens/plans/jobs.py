@@ -49,8 +49,10 @@ def clean_reviews(
     named = watch(normalise_headers(raw), "read", nulls=("Reviewer_Name", "Body", hotel.ID), dirty=("Score",))
     scored = named.withColumn("Score", clean_number(F.col("Score"), strict=strict))
     present = watch(drop_null_rows(scored, ["Reviewer_Name", "Body"]), "present", unscored=F.col("Score").isNull())
+    # Watched rows would be read, counted and matched a second time for the means.
+    unwatched = drop_null_rows(normalise_headers(raw).withColumn("Score", clean_number(F.col("Score"), strict=strict)), ["Reviewer_Name", "Body"]) if audit else None
     # Ahead of the name join: the means' own pass over the input reads three columns and joins nothing.
-    averaged = mean_on_rows(present, hotel.ID, "Score", "Mean_Reviewer_Score")
+    averaged = mean_on_rows(present, hotel.ID, "Score", "Mean_Reviewer_Score", of=unwatched)
     joined = enrich(averaged, entities, hotel.ID, [hotel.NAME])
     dated = joined.withColumns({
         "Days": extract_int(F.col("Stay_Details"), NIGHTS_PATTERN, strict),

@@ -212,6 +212,18 @@ def test_buckets_need_no_shuffle(spark):
         assert same(mine.select(plain.columns), plain)
 
 
+def test_means_are_not_of_watched_rows(spark, monkeypatch):
+    """The pass for the means observes nothing: every watched step is in the plan of the result only."""
+    text, seen = tables.text_schema(hotel.REVIEW_COLUMNS), []
+    row = ("1", "1_1", "r1", "An", None, "Solo", "Twin", "", "", "8,0", "Fine")
+    known = tables.local_table(spark, [("1_1", "Name")], tables.text_schema([hotel.ID, hotel.NAME]))
+    lookup = stats.join_lookup
+    monkeypatch.setattr(stats, "join_lookup", lambda rows, table, *a, **b: seen.append(table._jdf.queryExecution().toString()) or lookup(rows, table, *a, **b))
+    made = clean_reviews(tables.local_table(spark, [row], text), known, [F.col("num").cast("int")], audit=Audit())
+    assert len(seen) == 1 and "CollectMetrics" not in seen[0]
+    assert made.select("Mean_Reviewer_Score").first()[0] == 8.0
+
+
 def test_audit_counts_what_the_jobs_drop(spark, tmp_path):
     text = tables.text_schema(hotel.REVIEW_COLUMNS)
     rows = [
