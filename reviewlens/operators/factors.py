@@ -2,8 +2,9 @@
 
 **Best items.** A score is the inner product of two factors, at most the product of their lengths (Cauchy-Schwarz). Items lie in
 buckets by descending length. Every user meets the first bucket, which bounds the user's ``k``-th score from below; the buckets
-whose longest factor, times the user's length, stays under it hold nothing better, and neither do those behind them. Users are dealt
-into chunks by how deep they have to go.
+whose longest factor, times the user's length, stays under it hold nothing better, and neither do those behind them. Users of one chunk
+go to the items as they lie; more users are dealt into chunks by how deep they have to go, and a chunk meets runs of buckets: users
+travel once per run and items once per chunk.
 
 **New users.** With the items' factors fixed, a user's factor solves the same regularised least squares as in training:
 ``(sum v v' + reg * n * I) u = sum rating * v`` over the user's ``n`` ratings. The sums are taken where a user's ratings lie; only users
@@ -28,10 +29,13 @@ from reviewlens.plans.sizing import join_lookup, materialise
 # Sent to the workers with the functions themselves, so that they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Items of a bucket, users of a chunk, ratings of a user that one task sums.
+# Items of a bucket, users of a chunk, numbers in the buckets that a chunk meets at once, ratings of a user that one task sums.
 BUCKET = 4096
 CHUNK = 4096
+NUMBERS = 2**20
 RATINGS = 10_000
+# Products that a task holds at a time.
+CELLS = 4_000_000
 SLACK = 1e-9
 
 
@@ -44,21 +48,39 @@ def _length(vector: str):
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """For each row of scores the places of the first ``k``, highest first, ties by id."""
-    for row in scores:
-        at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-        yield at[np.lexsort((ids[at], -row[at]))][:k]
-
-
-def _found(users: pa.Table, items: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """User, item and score of the best items here for every user."""
-    ids = items["item"].to_numpy()
-    scores = _rows(users["v"].combine_chunks()) @ _rows(items["v"].combine_chunks()).T
-    places = list(_first(scores, ids, k))
-    count = [len(p) for p in places]
-    at = np.concatenate(places)
-    return np.repeat(users["user"].to_numpy(), count), ids[at], scores[np.repeat(np.arange(len(places)), count), at]
+def _found(user: np.ndarray, x: np.ndarray, depth: np.ndarray, item: np.ndarray, y: np.ndarray, bucket: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """User, item and score of the best items here for every user, of the buckets below the user's depth; the items lie by bucket."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts[1:], len(bucket))
+    order = np.argsort(-depth, kind="stable")
+    step = max(1, CELLS // max(1, len(item)))
+    for lo in range(0, len(order) if len(item) else 0, step):
+        at = order[lo : lo + step]
+        scores, met = np.full((len(at), len(item)), -np.inf), np.zeros((len(at), len(item)), bool)
+        for a, b in zip(starts, ends, strict=True):
+            # Deeper users come first.
+            n = int((depth[at] > bucket[a]).sum())
+            scores[:n, a:b] = x[at[:n]] @ y[a:b].T
+            if b - a <= k:
+                met[:n, a:b] = True
+            else:
+                # As good as the k-th of the bucket.
+                met[:n, a:b] = scores[:n, a:b] >= np.partition(scores[:n, a:b], -k, 1)[:, -k, None]
+        source, column = np.nonzero(met)
+        value = scores[source, column]
+        # Highest first, ties by id; what is not a number counts as highest, as in the last ranking.
+        best = np.lexsort((item[column], -value, ~np.isnan(value), source))
+        source, column = source[best], column[best]
+        first = np.arange(len(source)) - np.searchsorted(source, source) < k
+        source, column = source[first], column[first]
+        yield pa.RecordBatch.from_arrays([pa.array(user[at[source]]), pa.array(item[column]), pa.array(scores[source, column])], schema=_FOUND)
+
+
+def _by_bucket(items: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, factors and buckets of items, by bucket."""
+    items = items.sort_by("bucket")
+    v = items["v"]
+    return items["item"].to_numpy(), _rows(v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v), items["bucket"].to_numpy()
 
 
 _FOUND = pa.schema([("user", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
@@ -72,22 +94,22 @@ def _prepared(users: DataFrame, items: DataFrame, k: int, bucket: int) -> tuple[
     placed = with_position(known, [F.col("length").desc(), F.col("item").asc()], "pos")
     placed = materialise(placed.withColumn("bucket", F.floor(F.col("pos") / bucket).cast("int")).drop("pos"))
     head = placed.where("bucket = 0").select("item", "v").toArrow()  # one bucket
-    # One row per bucket.
-    longest = [r[1] for r in placed.groupBy("bucket").agg(F.max("length")).orderBy("bucket").collect()]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = head["item"].to_numpy()
+        flat = _rows(head["v"].combine_chunks()) if len(ids) else None
         for batch in batches:
-            if batch.num_rows and head.num_rows:
-                found = _found(pa.Table.from_batches([batch]), head, k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=_FOUND)
+            if batch.num_rows and len(ids):
+                yield from _found(batch["user"].to_numpy(), _rows(batch["v"]), np.ones(batch.num_rows, np.int64), ids, flat, np.zeros(len(ids), np.int64), k)
 
     best = materialise(asked.select("user", "v").mapInArrow(first, _FOUND_DDL))
     least = best.groupBy("user").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     bound = F.col("length") * (1 + SLACK)
-    # Buckets in order of length: those that can hold something as good are the first ones.
-    deep = F.size(F.filter(F.array(*[F.lit(x) for x in longest]), lambda x: (F.col("n") < k) | (x * bound + SLACK >= F.col("least"))))
-    waiting = materialise(asked.join(least, "user").withColumn("depth", deep).where("depth > 1").select("user", "v", "depth"))
-    return placed, best, waiting
+    # One number per bucket. Buckets in order of length: those that can hold something as good are the first ones.
+    longest = placed.groupBy("bucket").agg(F.max("length").alias("longest")).agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "longest"))), lambda b: b["longest"]))
+    deep = F.size(F.filter("longest", lambda x: (F.col("n") < k) | (x * bound + SLACK >= F.col("least"))))
+    waiting = asked.join(least, "user").withColumn("longest", longest.scalar()).withColumn("depth", deep)
+    return placed, best, materialise(waiting.where("depth > 1").select("user", "v", "depth"))
 
 
 def best_items(users: DataFrame, items: DataFrame, k: int = 10, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
@@ -96,20 +118,35 @@ def best_items(users: DataFrame, items: DataFrame, k: int = 10, bucket: int = BU
     Both tables have ``id`` and ``features`` of one length, as a factor model stores them. For one user pass a table of one row.
     """
     placed, best, waiting = _prepared(users, items, k, bucket)
-    if not waiting.isEmpty():
+    asking, deepest = waiting.agg(F.count("*"), F.max("depth")).first()
+    if 0 < asking <= chunk:
+        few = waiting.toArrow()  # one chunk
+
+        def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            user, x, depth = few["user"].to_numpy(), _rows(few["v"].combine_chunks()), few["depth"].to_numpy()
+            for batch in batches:
+                yield from _found(user, x, depth, *_by_bucket(batch), k)
+
+        best = best.unionByName(placed.where((F.col("bucket") > 0) & (F.col("bucket") < deepest)).select("item", "v", "bucket").mapInArrow(pass_by, _FOUND_DDL))
+    elif asking:
+        width = waiting.agg(F.max(F.size("v"))).first()[0]
+        run = max(1, NUMBERS // max(1, width * bucket))
+        runs = lambda last: F.sequence(F.lit(0), F.floor(last / run).cast("int"))
         at = with_position(waiting.select("user", "depth"), [F.col("depth").asc(), F.col("user").asc()], "pos")
         dealt = materialise(waiting.join(at.select("user", F.floor(F.col("pos") / chunk).cast("int").alias("chunk")), "user"))
         depths = dealt.groupBy("chunk").agg(F.max("depth").alias("most"))
-        meetings = depths.select("chunk", F.explode(F.sequence(F.lit(1), F.col("most") - 1)).alias("bucket"))
-        left = join_lookup(placed, meetings, ["bucket"], "inner", derived=True).select("chunk", "bucket", "item", "v")
-        right = dealt.withColumn("bucket", F.explode(F.sequence(F.lit(1), F.col("depth") - 1))).select("chunk", "bucket", "user", "v")
+        meetings = depths.select("chunk", "most", F.explode(runs(F.col("most") - 1)).alias("run"))
+        held = placed.where("bucket > 0").withColumn("run", F.floor(F.col("bucket") / run).cast("int"))
+        left = join_lookup(held, meetings, ["run"], "inner", derived=True).where("bucket < most").select("chunk", "run", "bucket", "item", "v")
+        right = dealt.withColumn("run", F.explode(runs(F.col("depth") - 1))).select("chunk", "run", "user", "v", "depth")
 
         def meet(items: pa.Table, users: pa.Table) -> pa.Table:
             if not (items.num_rows and users.num_rows):
                 return _FOUND.empty_table()
-            return pa.table([pa.array(c) for c in _found(users, items, k)], schema=_FOUND)
+            user, x, depth = users["user"].to_numpy(), _rows(users["v"].combine_chunks()), users["depth"].to_numpy()
+            return pa.Table.from_batches(_found(user, x, depth, *_by_bucket(items), k), _FOUND)
 
-        more = left.groupBy("chunk", "bucket").cogroup(right.groupBy("chunk", "bucket")).applyInArrow(meet, _FOUND_DDL)
+        more = left.groupBy("chunk", "run").cogroup(right.groupBy("chunk", "run")).applyInArrow(meet, _FOUND_DDL)
         best = best.unionByName(more)
     rank = F.row_number().over(W.partitionBy("user").orderBy(F.desc("score"), "item"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -62,6 +62,19 @@ def test_best_items_with_negative_scores_ties_and_few_items(spark):
     assert factors.best_items(df, other.limit(0), 3).count() == 0
 
 
+def test_users_meet_runs_of_buckets(spark):
+    """One chunk of users goes to the items without a shuffle of items; more chunks meet runs of buckets, not every bucket."""
+    random = np.random.default_rng(5)
+    users, items = ([(i, random.normal(size=4).round(3).tolist()) for i in range(n)] for n in (40, 300))
+    df, other = (spark.createDataFrame(t, "id int, features array<double>").repartition(3) for t in (users, items))
+    for chunk in (8, 40):
+        got = factors.best_items(df, other, 5, bucket=2, chunk=chunk)
+        plan = got._jdf.queryExecution().toString()
+        assert ("FlatMapCoGroupsInArrow" in plan) == (chunk == 8)
+        assert chunk == 40 or "run" in plan
+        assert sorted((r["user"], r["rank"], r["item"], round(r["score"], 6)) for r in got.collect()) == plain_best(users, items, 5)
+
+
 def test_products_left_out_where_lengths_differ(spark):
     random = np.random.default_rng(2)
     rows = [(i, (random.normal(size=6) * 1.5 ** (-i / 40)).tolist()) for i in range(1000)]
