@@ -118,9 +118,11 @@ def best_items(users: DataFrame, items: DataFrame, k: int = 10, bucket: int = BU
     Both tables have ``id`` and ``features`` of one length, as a factor model stores them. For one user pass a table of one row.
     """
     placed, best, waiting = _prepared(users, items, k, bucket)
-    asking, deepest = waiting.agg(F.count("*"), F.max("depth")).first()
-    if 0 < asking <= chunk:
-        few = waiting.toArrow()  # one chunk
+    # Rows of a user that comes more than once meet each other below, in either form.
+    rows = waiting.groupBy("user").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+    asking, deepest = rows.agg(F.sum(F.col("n") * F.col("n")), F.max("depth")).first()
+    if asking and asking <= chunk:
+        few = waiting.join(waiting.select("user"), "user").toArrow()  # one chunk
 
         def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             user, x, depth = few["user"].to_numpy(), _rows(few["v"].combine_chunks()), few["depth"].to_numpy()
