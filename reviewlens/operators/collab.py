@@ -8,7 +8,9 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from reviewlens.operators.training import SUMS, fit_few_users, users_of
 from reviewlens.plans.positions import with_position
 from reviewlens.plans.sizing import join_lookup
 
@@ -70,7 +72,8 @@ def fit_als(
 ) -> ALSModel:
     """Explicit-feedback ALS on integer ids; users or items unseen in training get no prediction.
 
-    ``blocks`` sets the number of user and item blocks, the unit of parallel work.
+    ``blocks`` sets the number of user and item blocks, on which the starting factors depend. With few users the iterations move
+    sums per user instead of the items' factors (:mod:`reviewlens.operators.training`); with more, MLlib's blocks exchange factors.
     """
     als = ALS(
         userCol=user, itemCol=item, ratingCol=rating, implicitPrefs=False, coldStartStrategy="drop",
@@ -78,7 +81,12 @@ def fit_als(
     )
     if blocks:
         als = als.setNumBlocks(blocks)
-    return als.fit(ratings.select(user, item, F.col(rating).cast("float").alias(rating)))
+    rows = ratings.select(user, item, F.col(rating).cast("float").alias(rating))
+    if iterations and all(rows.schema[c].dataType == T.IntegerType() for c in (user, item)):
+        users = users_of(rows, user, item, rating)
+        if users.count() * rank * (rank + 1) <= SUMS:
+            return fit_few_users(als, rows, users, iterations, regularisation)
+    return als.fit(rows)
 
 
 def predict(model: ALSModel, rows: DataFrame) -> DataFrame:

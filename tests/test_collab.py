@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
-from reviewlens.operators import collab, features, hybrid
+from reviewlens.operators import collab, features, hybrid, training
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +101,36 @@ def test_hashed_pipeline_options(spark):
     df = spark.createDataFrame([("Big  Pool the",), ("pool",)], "text string")
     model, made = features.hashed_text_features(df, "text", features=32, stop_words=["big"], pattern=r"\s+")
     assert made.first().filtered == ["pool", "the"] and len(model.stages) == 4
+
+
+def _factors(model):
+    return [{r["id"]: r["features"] for r in t.collect()} for t in (model.userFactors, model.itemFactors)]
+
+
+@pytest.mark.parametrize("cells", [training.CELLS, 100])
+def test_few_users_train_as_in_mllib_without_its_iterations(spark, monkeypatch, cells):
+    """MLlib's iterations send every item's factor to each block of users; few users need none of them, and get the same model."""
+    random = np.random.default_rng(3)
+    rows = [(int(u) - 40, int(i) * 3, float(random.integers(1, 50))) for u, i in random.integers([13, 150], size=(900, 2)) ** [2, 1]]
+    rows += [(-40, 3, float(n % 7)) for n in range(300)] + [(7, 9999, 4.0)]  # pairs that come often, an item of one rating
+    df = spark.createDataFrame(rows, "user int, item int, score double").repartition(5)
+    made, fit = [], ALS._fit
+    monkeypatch.setattr(ALS, "_fit", lambda self, ratings: made.append((self.getMaxIter(), ratings.count())) or fit(self, ratings))
+    monkeypatch.setattr(training, "CELLS", cells)
+    mine = collab.fit_als(df, "user", "item", "score", rank=4, iterations=6, blocks=3)
+    assert made == [(0, df.select("user").distinct().count())]
+    monkeypatch.setattr(collab, "SUMS", 0)
+    whole = collab.fit_als(df, "user", "item", "score", rank=4, iterations=6, blocks=3)
+    assert made[1:] == [(6, df.count())]
+    for a, b in zip(_factors(mine), _factors(whole), strict=True):
+        assert a.keys() == b.keys()
+        assert np.array([a[k] for k in b]) == pytest.approx(np.array(list(b.values())), abs=1e-4)
+    assert {p.name: v for p, v in mine.extractParamMap().items()} == {p.name: v for p, v in whole.extractParamMap().items()}
+    assert mine.rank == 4 and mine.userFactors.dtypes == whole.userFactors.dtypes and mine.itemFactors.dtypes == whole.itemFactors.dtypes
+
+
+@pytest.mark.parametrize("bad", [(None, 1, 1.0), (1, None, 1.0), (1, 1, None), (1, 1, math.nan)])
+def test_bad_ratings_fail_as_in_mllib(spark, bad):
+    df = spark.createDataFrame([bad, (1, 2, 3.0), (2, 2, 1.0)], "user int, item int, score double")
+    with pytest.raises(Exception, match="MUST NOT be Null"):
+        collab.fit_als(df, "user", "item", "score", rank=2, iterations=1)
