@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.functions import vectors
-from reviewlens.operators import features, similar
+from reviewlens.operators import features, index, similar
+from reviewlens.plans.scoring import Ranking
 from reviewlens.plans.sizing import materialise
 from reviewlens.sources.artefacts import load_artefacts, save_artefacts
 
@@ -150,6 +151,32 @@ def test_equal_similarity_goes_to_the_lower_document(documents, profiles):
     assert order.index(2) + 1 == order.index(5)
 
 
+@pytest.mark.parametrize("block_terms", [3, 1_000_000])
+@pytest.mark.parametrize("ranking", [Ranking(3), Ranking(2, exclude_key=True), Ranking(9, 3, tie_on_key=True)])
+def test_long_documents_are_rows_per_slice(documents, weights, profiles, monkeypatch, ranking, block_terms):
+    """No row holds a whole long document, and the matches are the same."""
+    monkeypatch.setattr(similar, "LEAST_TERMS", 1)
+    monkeypatch.setattr(similar, "BLOCK_TERMS", 4)
+    monkeypatch.setattr(similar, "RANKED_DOCS", 3)
+    monkeypatch.setattr(similar, "RANKED_SOURCES", 2)
+    cut = materialise(similar.document_profiles(weights, documents, "entity", row_terms=2))
+    assert cut.count() > len(TEXTS) and cut.agg(F.max(F.size("terms"))).first()[0] < 4
+    whole = {r.doc: sorted(zip(r.terms, r.weights)) for r in profiles.collect()}
+    pieces = [(r.doc, *e) for r in cut.collect() for e in zip(r.terms, r.weights)]
+    assert sorted(pieces) == sorted((d, *e) for d, es in whole.items() for e in es)
+    assert {r.doc: r.key for r in cut.collect()} == {r.doc: r.key for r in profiles.collect()}
+    sources = documents.where("doc IN (0, 1, 3, 4)")
+    got, want = (sorted(map(tuple, similar.best_matches(p, sources, ranking, block_terms=block_terms).collect())) for p in (cut, profiles))
+    assert got == want and got
+
+
+def test_index_of_long_documents(documents, weights, profiles, monkeypatch):
+    monkeypatch.setattr(similar, "LEAST_TERMS", 1)
+    cut = materialise(similar.document_profiles(weights, documents, "entity", row_terms=2))
+    got, want = (sorted((r.src, r.rec, round(r.sim, 9), r.rank) for r in index.search(index.build_index(p), documents, 3).collect()) for p in (cut, profiles))
+    assert got == want and got
+
+
 def test_no_match_and_empty_document(documents, profiles):
     assert similar.recommend_per_source(profiles, documents, entity="entity", name="name", keyword="nowhere").count() == 0
     rows = similar.recommend_per_source(profiles, documents, entity="entity", name="name", keyword="void", k=3).orderBy("rank").collect()
