@@ -272,3 +272,25 @@ def test_top_vectors_with_ties_in_small_steps(spark, monkeypatch):
     for i, v in rows:
         same = [j for j, w in rows if j != i and (w == v if v else True)]
         assert [got[i, r] for r in (1, 2, 3, 4)] == same[:4]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_travel_to_the_queries_in_chunks(spark, monkeypatch, kind):
+    """More queries than travel: the vectors come in chunks, no vector is shuffled, and each chunk leaves k rows a query."""
+    monkeypatch.setattr(similar, "SENT_BYTES", 300)
+    monkeypatch.setattr(similar, "SCORED_ITEMS", 5)
+    kept = []
+    made = similar.materialise
+    monkeypatch.setattr(similar, "materialise", lambda t: kept.append(made(t)) or kept[-1])
+    rows = [(i, [1.0, float(i % 3), float(i % 7)] if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, f"id long, v array<{kind}>").repartition(3)
+    queries = df.select(F.col("id").alias("query"), F.col("v").alias("vector"))
+    found = similar.top_vectors(df, queries, "id", "v", 4, max_queries=7, exclude_self=True)
+    assert "applyInArrow" not in found._jdf.queryExecution().toString() and "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    chunks = kept[2:]
+    assert len(chunks) > 3 and all(t.columns == ["query", "id", "scaled"] and t.count() <= 4 * 60 for t in chunks)
+    got = {(r["query"], r["rank"]): (r["id"], round(r["cosine"], 9)) for r in found.collect()}
+    unit = [[x / math.sqrt(sum(y * y for y in v)) for x in v] if v else [0.0] * 3 for _, v in rows]
+    for i, _ in rows:
+        best = sorted((-round(sum(a * b for a, b in zip(unit[i], unit[j])), 9), j) for j, _ in rows if j != i)[:4]
+        assert [got[i, r] for r in (1, 2, 3, 4)] == [(j, -c) for c, j in best]
