@@ -92,6 +92,39 @@ def test_long_documents_make_small_groups(spark):
     assert got == sorted((r["src"], r["rank"], r["rec"], round(r["sim"], 9)) for r in similar.top_documents(df, sources, 6).collect())
 
 
+def test_index_is_written_once(spark, tmp_path, monkeypatch):
+    """With a path, neither profiles nor postings are stored anywhere else, and the index is the same."""
+    df, _ = profiles(spark, 300)
+    plain = index.build_index(df, block=4, blocks=5)
+    stored = []
+    made = index.materialise
+    monkeypatch.setattr(index, "materialise", lambda t: stored.append(t.columns) or made(t))
+    index.build_index(df, block=4, blocks=5, path=str(tmp_path / "index"))
+    assert not any({"terms", "docs", "weights"} & set(c) for c in stored)
+    loaded = index.load_index(spark, str(tmp_path / "index"))
+    for name in index.Index._fields:
+        want, got = getattr(plain, name), getattr(loaded, name)
+        assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
+    files = loaded.postings.groupBy(F.input_file_name()).agg(F.min("group").alias("a"), F.max("group").alias("b")).orderBy("a", "b").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(files, files[1:]))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_artefacts_hold_the_only_copy_of_the_counts(spark, monkeypatch):
+    from reviewlens.catalog import similar as queries
+
+    stored, paths = [], []
+    made, written = features.materialise, queries.save_artefacts
+    monkeypatch.setattr(features, "materialise", lambda t: stored.append(t.columns) or made(t))
+    monkeypatch.setattr(queries, "materialise", lambda t: stored.append(t.columns) or made(t))
+    monkeypatch.setattr(queries, "save_artefacts", lambda tables, path, **o: paths.append(path) or written(tables, path, **o))
+    ENTRIES["artefacts_roundtrip"].run(spark, FOLDER)
+    assert stored and not any("tf" in c for c in stored)
+    counts = load_artefacts(spark, paths[0], ("counts",))["counts"]
+    files = counts.groupBy(F.input_file_name()).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).orderBy("a").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(files, files[1:]))
+
+
 def test_index_skips_documents(spark):
     """Queries with near copies: once these are found, nothing else can come near."""
     random = np.random.default_rng(4)
